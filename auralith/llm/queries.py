@@ -6,17 +6,40 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import langid, rule_ledger
 from .bpe import encode_documents
 from .common import table
 
+POLICY = "v1"
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rule_ledger.ledger(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (~rule_ledger.passes("base")).alias("base_failed"), rule_ledger.passes(POLICY).alias("kept"), "failures",
+    )
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = langid.held_out(F.col("doc_id"), 4, 2)
+    model = langid.train(docs.where(~fold & F.col("doc_id").isNotNull()))
+    return langid.predict(docs, model).select("doc_id", fold.alias("held_out"), "lang_pred", "score")
+
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), output="digest")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_byte_bpe": op8_byte_bpe}
+    return {
+        "op4_quality_rules": op4_quality_rules,
+        "op5_language_id": op5_language_id,
+        "op8_byte_bpe": op8_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
