@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, rule_ledger
+from . import langid, rule_ledger, simhash
 from .bpe import encode_documents
 from .common import table
 
 POLICY = "v1"
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rule_ledger.ledger(table(spark, sf_dir, "documents"))
     return found.select(
@@ -36,6 +40,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
         "op4_quality_rules": op4_quality_rules,
         "op5_language_id": op5_language_id,
         "op8_byte_bpe": op8_byte_bpe,
