@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, rule_ledger, simhash
+from . import langid, packing, rule_ledger, simhash
 from .bpe import encode_documents
 from .common import table
 
@@ -38,12 +38,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), output="digest")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op4_quality_rules": op4_quality_rules,
         "op5_language_id": op5_language_id,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_packing": op9_packing,
     }
 
 
