@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, rule_ledger, simhash
+from . import interp_lm, langid, packing, rule_ledger, simhash
 from .bpe import encode_documents
 from .common import table
 
@@ -19,6 +19,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op2_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interp_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rule_ledger.ledger(table(spark, sf_dir, "documents"))
     return found.select(
@@ -45,6 +49,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_interpolated_lm": op2_interpolated_lm,
         "op4_quality_rules": op4_quality_rules,
         "op5_language_id": op5_language_id,
         "op8_byte_bpe": op8_byte_bpe,
