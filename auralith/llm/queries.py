@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import interp_lm, langid, packing, rule_ledger, simhash, suffix
+from . import fuzzy_lines, interp_lm, langid, packing, rule_ledger, simhash, suffix
 from .bpe import encode_documents
 from .common import table
 
@@ -42,6 +42,10 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.passages(table(spark, sf_dir, "documents"))
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.line_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), output="digest")
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_language_id": op5_language_id,
         "op6_repeated_passages": op6_repeated_passages,
+        "op7_fuzzy_lines": op7_fuzzy_lines,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_packing": op9_packing,
     }

@@ -9,6 +9,7 @@ of them. Buckets beyond a size go on by more and smaller blocks, which bounds th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -84,15 +85,19 @@ def _keys(fp: Column, masks: list[int]) -> Column:
     return F.array(*[F.struct(F.lit(k).cast("long").alias("c"), fp.bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for k, m in enumerate(masks)])
 
 
-def join_sets(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Union of the sets of a[i] and b[i]; parent[x] is the smallest member of x's set, before and after."""
+def join_sets(parent: np.ndarray, a: np.ndarray, b: np.ndarray, used: list | None = None) -> np.ndarray:
+    """Union of the sets of a[i] and b[i]; parent[x] is the smallest member of x's set, before and after.
+    With used, the pairs that joined two sets are appended there."""
     while len(a):
         ra, rb = parent[a], parent[b]
         apart = ra != rb
         if not apart.any():
             break
         a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+        high, first = np.unique(np.maximum(ra, rb), return_index=True)
+        if used is not None:
+            used.append((a[first], b[first]))
+        parent[high] = np.minimum(ra, rb)[first]
         while True:
             above = parent[parent]
             if np.array_equal(above, parent):
@@ -101,8 +106,8 @@ def join_sets(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parent
 
 
-def near_sets(fps: np.ndarray, sizes: np.ndarray, radius: int, weigh: np.ndarray | None = None) -> np.ndarray:
-    """For fingerprints in consecutive groups of the sizes: the first index of each one's linked set within its group."""
+def near_hits(fps: np.ndarray, sizes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of fingerprints (in consecutive groups of the sizes) within the radius, each once, in portions."""
     n, words = len(fps), -(-sizes // 64)
     first_word = np.concatenate(([0], np.cumsum(words)))
     start = np.concatenate(([0], np.cumsum(sizes)))
@@ -117,7 +122,6 @@ def near_sets(fps: np.ndarray, sizes: np.ndarray, radius: int, weigh: np.ndarray
     valid = np.packbits(member >= 0, bitorder="little").view("<u8")
     own = bits[lane]  # (n, 64)
     tasks = words[group]
-    parent = np.arange(n)
     edges = np.concatenate(([0], np.cumsum(tasks)))
     at = 0
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -145,11 +149,32 @@ def near_sets(fps: np.ndarray, sizes: np.ndarray, radius: int, weigh: np.ndarray
         q, w, near = q[some], w[some], near[some]
         for k in range(0, len(q), 8192):
             hit, bit = np.nonzero(np.unpackbits(near[k : k + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            parent = join_sets(parent, q[k : k + 8192][hit], member[w[k : k + 8192][hit] * 64 + bit])
+            a, b = q[k : k + 8192][hit], member[w[k : k + 8192][hit] * 64 + bit]
+            yield a[a < b], b[a < b]
         at = stop
+
+
+def near_sets(fps: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
+    """For fingerprints in consecutive groups of the sizes: the first index of each one's linked set within its group."""
+    parent = np.arange(len(fps))
+    for a, b in near_hits(fps, sizes, radius):
+        parent = join_sets(parent, a, b)
     return parent
 
 
+def near_pairs(fps: np.ndarray, sizes: np.ndarray, radius: int, fits, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius for which fits(a, b) holds: all, or a spanning forest of them."""
+    parent, used = np.arange(len(fps)), [(np.zeros(0, np.int64),) * 2]
+    for a, b in near_hits(fps, sizes, radius):
+        fit = fits(a, b)
+        a, b = a[fit], b[fit]
+        if every:
+            used.append((a, b))
+        else:
+            parent = join_sets(parent, a, b, used)
+    return tuple(np.concatenate(x) for x in zip(*used, strict=True))
+
+
 def _beyond(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
     """Lanes whose counter exceeds the radius, comparing from the highest counter bit down."""
     above, same = over.copy(), ~over
