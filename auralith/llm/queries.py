@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fuzzy_lines, interp_lm, langid, packing, rule_ledger, simhash, suffix
+from . import fuzzy_lines, interp_lm, langid, packing, pivot_join, rule_ledger, simhash, suffix
 from .bpe import encode_documents
 from .common import table
 
@@ -23,6 +23,10 @@ def op2_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interp_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op3_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rule_ledger.ledger(table(spark, sf_dir, "documents"))
     return found.select(
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_interpolated_lm": op2_interpolated_lm,
+        "op3_metric_join": op3_metric_join,
         "op4_quality_rules": op4_quality_rules,
         "op5_language_id": op5_language_id,
         "op6_repeated_passages": op6_repeated_passages,
