@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import math
 import os
 import tempfile
@@ -65,6 +67,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextlib.contextmanager
+def no_cycles() -> Iterator[None]:
+    """Holds the cycle collector while large caches without cycles grow; it would walk them again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that each holds about `most` bytes of text, one row at least."""
     for batch in batches:
