@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fuzzy_lines, interp_lm, langid, packing, pivot_join, rule_ledger, simhash, suffix
+from . import fuzzy_lines, html_lstm, interp_lm, langid, packing, pivot_join, rule_ledger, simhash, suffix
 from .bpe import encode_documents
 from .common import table
 
@@ -58,6 +58,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_lstm.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_fuzzy_lines": op7_fuzzy_lines,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_packing": op9_packing,
+        "op10_html_text": op10_html_text,
     }
 
 
