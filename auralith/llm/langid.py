@@ -11,6 +11,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,3 +138,17 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def keep_known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The input's rows, all columns, whose text gets a language; "und" rows (null texts too) go."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        out: list[bool] = []
+        for batch in text_slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], "text", 1 << 20):
+            out += [x != UNKNOWN for x in shared.value.predict(batch.column("text").to_pylist())[0]]
+        return pd.Series(out, dtype=bool)
+
+    return df.where(known(df[text_col]))
