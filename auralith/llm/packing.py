@@ -25,7 +25,8 @@ from .common import Tables, no_cycles, text_slices
 
 WINDOW = 2048
 END_ID = 1
-CACHED = 900_000
+#: Words a worker remembers, at about 150 bytes each.
+CACHED = 2_000_000
 PUNCTUATION = b".,;:!?*#$%&"
 
 
