@@ -96,7 +96,7 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def dbfs(level: Column) -> Column:
-    return F.when(level > 0, F.greatest(20 * F.log10(level), F.lit(SILENCE_DBFS))).otherwise(F.lit(SILENCE_DBFS))
+    return F.when(level > 0, 20 * F.log10(level)).otherwise(F.lit(SILENCE_DBFS))
 
 
 def ratio(a: Column, b: Column) -> Column:

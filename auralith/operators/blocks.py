@@ -26,6 +26,7 @@ def matrix(column: pd.Series) -> np.ndarray:
 
 def block_join(left: DataFrame, right: DataFrame, key: str, solve: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, symmetric: bool = False, rows: int = ROWS) -> DataFrame:
     """solve(left block, right block) for all pairs of blocks; with symmetric, for those with left <= right only."""
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # attributes of its own, also in a self-join
     n_left, n_right = blocks_of(left, rows), blocks_of(right, rows)
     own, other = F.pmod(F.xxhash64(key), F.lit(n_left)), F.pmod(F.xxhash64(key), F.lit(n_right))
     rights = F.sequence(F.col("lb"), F.lit(n_right - 1).cast("long")) if symmetric else F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long"))
