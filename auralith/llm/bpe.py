@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import keep_between_tasks, text_slices
 
 # Symbols: letter, number, other, apostrophe + one letter, apostrophe + two letters, last blank before
 # something, last other white space before something, any other white space, end of a text.
@@ -259,7 +259,9 @@ class BytePairCodec:
 
 @lru_cache(2)
 def codec(rank_file: str) -> BytePairCodec:
-    return BytePairCodec(rank_file)
+    work = BytePairCodec(rank_file)
+    keep_between_tasks("bpe", work.cache)
+    return work
 
 
 ENCODED = "doc_id long, ids array<int>, offsets array<long>"
@@ -276,7 +278,7 @@ def encode_documents(df: DataFrame, rank_file: str, id_col: str = "doc_id", text
 
     def run(batches):
         work = codec(rank_file)
-        for batch in text_slices(batches, "text", 1 << 20):
+        for batch in text_slices(batches, "text", 1 << 20, "bpe"):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             if output == "ids":
                 rows = [ids for _, ids in work.encode_batch(texts)]

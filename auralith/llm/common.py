@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import math
 import os
@@ -79,8 +80,27 @@ def no_cycles() -> Iterator[None]:
             gc.enable()
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+#: What this worker process keeps between tasks, by the operator that keeps it.
+_kept: dict[str, list] = {}
+
+
+def keep_between_tasks(owner: str, cache) -> None:
+    _kept.setdefault(owner, []).append(cache)
+
+
+def release_others(owner: str | None) -> None:
+    """Workers live on from one operator to the next: empties the caches of all operators but the owner."""
+    held = [c for name, caches in _kept.items() if name != owner for c in caches if c]
+    for cache in held:
+        cache.clear()
+    if held:
+        with contextlib.suppress(OSError, AttributeError):  # give the freed pages back where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20, owner: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that each holds about `most` bytes of text, one row at least."""
+    release_others(owner)
     for batch in batches:
         n = batch.num_rows
         if not n:

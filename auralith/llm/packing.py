@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Tables, no_cycles, text_slices
+from .common import Tables, keep_between_tasks, no_cycles, text_slices
 
 WINDOW = 2048
 END_ID = 1
@@ -95,7 +95,9 @@ class WordTokenizer:
 
 @lru_cache(2)
 def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    work = WordTokenizer(path)
+    keep_between_tasks("packing", work.cache)
+    return work
 
 
 def combinations_of(window: int) -> np.ndarray:
@@ -197,7 +199,7 @@ def pieces(df: DataFrame, tokenizer_file: str, window: int = WINDOW, id_col: str
 
     def cut_up(batches):
         work, counts, part = tokenizer(tokenizer_file), {}, 0
-        for batch in text_slices(batches, "text", 1 << 20):
+        for batch in text_slices(batches, "text", 1 << 20, "packing"):
             part = batch.column("part")[0].as_py()
             rows = []
             for doc, raw in zip(batch.column("doc_id").to_pylist(), work.encode(batch.column("text").to_pylist()), strict=True):
