@@ -130,7 +130,7 @@ def resolve_references(arguments: list[str], samples: DataFrame) -> DataFrame:
     wanted = samples.select(F.col("id").alias("sample_id"), F.explode(keys).alias("k")).select("sample_id", "k.*").where(F.col("key").isin([str(int(a)) if _number(a) else a for a in arguments]))
     number = F.col("argument").rlike(r"^[+-]?\d+$")
     probe = asked.withColumn("key", F.when(number, F.col("argument").cast("long").cast("string")).otherwise(F.col("argument")))
-    hits = probe.join(wanted, "key", "left").where(F.col("how").isNull() | (number == (F.col("how") == "id")))
+    hits = probe.join(wanted, (probe["key"] == wanted["key"]) & (number == (F.col("how") == "id")), "left")
     best = hits.groupBy("position", "argument").agg(F.min("rank").alias("rank"), F.collect_list(F.struct("rank", "how", "sample_id")).alias("found"))
     chosen = best.withColumn("found", F.filter("found", lambda x: x["rank"] == F.col("rank")))
     failure = F.when(F.col("rank").isNull(), F.concat(F.lit("no indexed sample matched "), F.col("argument"))).when(F.size("found") > 1, F.concat(F.lit("ambiguous reference "), F.col("argument")))

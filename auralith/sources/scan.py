@@ -30,7 +30,7 @@ def _walk(root: str, include_hidden: bool, follow_symlinks: bool) -> Iterator[tu
             if name.startswith(".") and not include_hidden or extension not in FORMATS or os.path.islink(path) and not follow_symlinks:
                 continue
             stat = os.stat(path)
-            yield base, path, os.path.relpath(path, base).replace(os.sep, "/"), name, extension, FORMATS[extension], stat.st_size, pd.Timestamp(stat.st_mtime, unit="s")
+            yield base, path, os.path.relpath(path, base).replace(os.sep, "/"), name, extension, FORMATS[extension], stat.st_size, pd.Timestamp(stat.st_mtime_ns // 1000, unit="us")
 
 
 def scan(spark: SparkSession, *roots: str, include_hidden: bool = False, follow_symlinks: bool = False) -> DataFrame:
