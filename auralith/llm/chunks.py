@@ -123,8 +123,10 @@ def cell_bits(df: DataFrame) -> int:
 
 def send(chunk: int, keys: np.ndarray, values: list[np.ndarray], bits: int) -> Iterator[tuple[int, int, bytes]]:
     """(cell, chunk, data) rows for sorted distinct keys and their values."""
+    if not len(keys):
+        return
     cell = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
     for a, b in zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=True):
         own = keys[a:b]
         yield int(cell[a]), chunk, squeeze(np.diff(own, prepend=np.uint64(0)), *(v[a:b] for v in values))

@@ -42,10 +42,17 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_but(self, *names: str) -> None:
+        """Deletes all tables but these: what is returned must read no others."""
+        base = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        files = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for found in files.listStatus(base):
+            if found.getPath().getName() not in names:
+                files.delete(found.getPath(), True)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

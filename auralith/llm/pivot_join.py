@@ -216,6 +216,7 @@ def near_vectors(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", vect
     parts = connected_components(joined.where("src is not null").select("src", "dst"), tables)
     of = classes.select("k1", "k2", "id", "m").join(linked, "id", "left").join(parts, F.col("id") == F.col("node"), "left")
     named = tables.keep(of.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "id").alias("component")), "named")
+    tables.drop_but("rows", "named")
     own = rows.where("ok").select("vec_id", "k1", "k2").join(named, ["k1", "k2"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return own.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

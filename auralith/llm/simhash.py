@@ -245,6 +245,7 @@ def near_duplicates(df: DataFrame, words: int = 5, radius: int = 3, id_col: str
     of = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     named = of.groupBy("component").agg(F.min("first").alias("component_id"))
     by_print = tables.keep(of.join(named, "component").select("fp", "component_id"), "named")
+    tables.drop_but("prints", "named")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -119,6 +119,8 @@ def passages(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text
 
     found = tables.keep(made.select("chunk", "data").groupBy("chunk").cogroup(often.groupBy("chunk")).applyInPandas(windows, rows), "windows")
 
+    tables.drop_but("windows")
+
     def holders(slot, n, values):
         first = np.full(n, np.iinfo(np.int64).max)
         np.minimum.at(first, slot, values[0])
