@@ -133,6 +133,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def bit_filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """A filter of a fixed number of bits as 32-bit words: that at key modulo `bits` (unsigned) is set for each key (long)."""
+    words = keys.groupBy(F.shiftright(F.pmod("key", F.lit(bits)), 5).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {bits}) % 32 as int))")).alias("set"))
+    out = np.zeros(bits // 32, np.uint32)
+    for word, value in words.collect():  # at most bits / 32 rows
+        out[word] = value
+    return out
+
+
 def connected_components(edges: DataFrame, tables: Tables, name: str = "cc") -> DataFrame:
     """(node, component) for every node of edges (src, dst): component is the smallest node reachable.
 

@@ -247,10 +247,3 @@ def near_duplicates(df: DataFrame, words: int = 5, radius: int = 3, id_col: str
     by_print = tables.keep(of.join(named, "component").select("fp", "component_id"), "named")
     tables.drop_but("prints", "named")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(df: DataFrame, words: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows, all columns, but those of documents linked to one with a smaller id. Rows that share an id
-    are one document; rows with a null id stay."""
-    found = near_duplicates(df, words, radius, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(found, df[id_col].cast("long") == found["__gone"], "left_anti")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auralith.llm import fuzzy_lines, langid, packing, simhash, suffix
+from auralith.llm import fuzzy_lines, langid, near_texts, packing, suffix
 from auralith.llm.common import Tables, table
 
 
@@ -22,8 +22,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by fingerprints of five-word shingles."""
-    return simhash.one_of_each(docs, words=5, radius=3)
+    """Keeps one document of each group linked by fingerprints of five-word shingles and a similarity of 0.8."""
+    return near_texts.one_of_each(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 import corpus_pipeline
-from auralith.llm import fuzzy_lines, langid, simhash
+from auralith.llm import fuzzy_lines, langid, near_texts
 from tests.llm.conftest import ODD
 from tests.llm.test_lines import brute as brute_lines
 from tests.llm.test_passages import brute as brute_passages
-from tests.llm.test_simhash import brute as brute_prints
+from tests.llm.test_simhash import brute_near
 from tests.llm.test_tokens import check_packing
 
 
@@ -35,8 +35,8 @@ def test_stages_against_brute_force(spark, sf):
     assert two.columns == columns and dict(rows_of(two)) == want
 
     three = stage["simhash_dedup"](spark, two, sf).cache()
-    firsts = {int(i) for i, _, c in brute_prints(list(want.items()), 5, 3) if int(i) == c}
-    want = {i: t for i, t in want.items() if i in firsts}
+    parts = brute_near(list(want.items()))
+    want = {i: t for i, t in want.items() if parts[i] == i}
     assert three.columns == columns and dict(rows_of(three)) == want
 
     four = stage["suffix_dedup"](spark, three, sf).cache()
@@ -68,4 +68,4 @@ def test_run(spark, sf):
 
 def test_thresholds():
     """Stages on word shingles take five words."""
-    assert simhash.one_of_each.__defaults__[0] == 5 and langid.UNKNOWN == "und"
+    assert near_texts.one_of_each.__defaults__[:3] == (5, 8, 0.8) and langid.UNKNOWN == "und"

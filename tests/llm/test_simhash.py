@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from auralith.llm import simhash
+from auralith.llm import near_texts, simhash
 from auralith.llm.common import Tables, connected_components
 from tests.llm.conftest import ODD
 
@@ -66,8 +66,70 @@ def test_bit_slices(radius):
     assert hits == want
 
 
+def brute_near(rows, words=5, radius=8, least=0.8):
+    """(id, smallest id reachable) of rows with different ids."""
+    prints, sets = [], []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        runs = [b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))] if w else []
+        hashes = [xxhash.xxh64_intdigest(r, 42) for r in runs]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+        sets.append(set(runs))
+    part = {i: i for i, _ in rows}
+    first = {}
+    for k in sorted(range(len(rows)), key=lambda k: rows[k][0]):
+        first.setdefault(prints[k], k)  # the class's representative
+
+    def join(a, b):
+        old, new = max(part[a], part[b]), min(part[a], part[b])
+        for i in part:
+            if part[i] == old:
+                part[i] = new
+
+    for k, (i, _) in enumerate(rows):
+        join(i, rows[first[prints[k]]][0])
+    reps = sorted(first.values())
+    for n, a in enumerate(reps):
+        for b in reps[:n]:
+            if (prints[a] ^ prints[b]).bit_count() <= radius:
+                whole = len(sets[a] | sets[b])
+                if not whole or len(sets[a] & sets[b]) >= least * whole:
+                    join(rows[a][0], rows[b][0])
+    return part
+
+
+def families(seed):
+    """Texts with some words changed, unrelated ones, and short ones that share most words but few shingles."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for f in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 2000, 120)]
+        for _ in range(8):
+            own = list(base)
+            for at in rng.integers(0, 120, rng.integers(0, 7)):
+                own[at] = f"c{rng.integers(0, 99)}"
+            rows.append(" ".join(own))
+    rows += [" ".join(rng.permutation(["a", "b", "c", "d", "e", "f"])) for _ in range(30)]
+    return [(int(k), t) for k, t in zip(rng.permutation(len(rows)), rows)]
+
+
+@pytest.mark.parametrize("large", [4096, 5])
+def test_verified_links(make, large):
+    rows = families(large)
+    found = {r["doc_id"]: r["component_id"] for r in near_texts.near_texts(make(rows), large=large).collect()}
+    want = brute_near(rows)
+    assert found == want and 12 < len(set(want.values())) < len(rows)
+
+
+def test_near_texts_of_odd_rows(make, texts):
+    single = [r for r in ODD if r[0] not in (5, None)]
+    assert {r["doc_id"]: r["component_id"] for r in near_texts.near_texts(make(single)).collect()} == brute_near(single)
+    assert {r["doc_id"]: r["component_id"] for r in near_texts.near_texts(make(texts)).collect()} == brute_near(texts)
+    assert near_texts.near_texts(make(ODD).limit(0)).count() == 0
+
+
 def test_one_of_each(make):
     rows = [(3, "a b c d e f g"), (1, "A B c d e f g"), (2, "quite another text is here"), (None, "a b c d e f g"), (2, "quite another text is here")]
-    kept = simhash.one_of_each(make(rows))
+    kept = near_texts.one_of_each(make(rows))
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "2", "None"]
     assert kept.columns == make(rows).columns
