@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder for tables between rounds: under spark.checkpoint.dir, or a local one where that is unset (tests)."""
+@lru_cache(1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="auralith-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; only where none is set (tests, local mode) one of
+    this driver's own, which goes when it ends."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{(where or f'file://{tempfile.gettempdir()}/auralith-scratch-{os.getuid()}').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if where is None:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        where = given.get() if given.isDefined() else f"file://{_own_folder()}"
+    return where.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder for tables between rounds."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, path: str) -> DataFrame:
