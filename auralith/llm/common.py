@@ -6,8 +6,6 @@ import contextlib
 import ctypes
 import gc
 import math
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,19 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auralith.operators.components import shared_dir
+
 #: Input bytes that one cell of a key exchange, or one reducer, should stand for.
 CELL_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where none is set, one of this driver (tests, local mode)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if where is None:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = set_dir.get() if set_dir.isDefined() else f"file://{tempfile.gettempdir()}/auralith-shared-{os.getuid()}"
-    return where.rstrip("/")
-
-
 class Tables:
     """Tables written to the shared folder in one job and read again, so that lost executors cost no lineage."""
 
