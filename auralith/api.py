@@ -13,11 +13,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auralith import schemas
-from auralith.functions.exprs import timestamp_text
+from auralith.functions.exprs import FORMATS, normalize_name, timestamp_text
 from auralith.operators import analyzers, catalog, clustering, dedup, rename, serving, similarity, tagging
 from auralith.sources import scan as scanning
 
 
+def _form(path: str) -> str:
+    return FORMATS.get(Path(path).suffix.lower().lstrip("."), "unknown")
+
+
+def convert_target(path: str, output: str = "", form: str = "") -> tuple[str, str]:
+    """(output path, format) of a conversion. One of output and form must be given; if both are, they must agree."""
+    if form.strip():
+        if (named := FORMATS.get(form.strip().lower())) is None:
+            raise ValueError(f"unsupported target format {form!r}")
+        if not output:
+            return str(Path(path).with_suffix(f".{named}")), named
+        if not Path(output).suffix:
+            return f"{output}.{named}", named
+        if _form(output) != named:
+            raise ValueError(f"output {output!r} does not match format {form!r}")
+        return output, named
+    if not output:
+        raise ValueError("choose an output or a format")
+    if (found := _form(output)) == "unknown":
+        raise ValueError(f"cannot tell the format of {output!r}")
+    return output, found
+
+
 class Library:
     """A catalog: one folder a table, replaced as a whole by each change."""
 
@@ -84,8 +107,6 @@ class Library:
 
     def info(self, path: str) -> tuple[dict, dict, str]:
         """Metrics, attributes and hash of one file, without the catalog."""
-        from auralith.functions.exprs import FORMATS
-
         suffix = Path(path).suffix.lower().lstrip(".")
         return analyzers.analyze_bytes(Path(path).read_bytes(), FORMATS.get(suffix, "unknown"), suffix)
 
@@ -109,8 +130,6 @@ class Library:
         self.put("sample_tags", catalog.attach_tags(self.table("sample_tags"), pairs))
 
     def add_tag(self, path: str, name: str) -> None:
-        from auralith.functions.exprs import normalize_name
-
         own = catalog.sample_by_path(self.table("samples"), path)
         if not own.head(1):
             raise LookupError(f"{path!r} is not indexed")
@@ -191,15 +210,12 @@ class Library:
             self.put("samples", catalog.update_locations(self.table("samples"), move))
         return row["target"]
 
-    def convert(self, path: str, output: str, **options) -> bytes:
-        """Writes the converted file to output, in the format of its extension."""
-        from auralith.functions.exprs import FORMATS
-
-        forms = [FORMATS.get(Path(p).suffix.lower().lstrip("."), "unknown") for p in (path, output)]
-        files = self.spark.createDataFrame([(0, bytearray(Path(path).read_bytes()), forms[0])], "id long, content binary, format string")
-        body = bytes(analyzers.convert_files(files, forms[1], **options).first()["content"])
-        Path(output).write_bytes(body)
-        return body
+    def convert(self, path: str, output: str = "", form: str = "", **options) -> str:
+        """Writes the converted file and returns its path: output, or the source's with the format's extension."""
+        target, form = convert_target(path, output, form)
+        files = self.spark.createDataFrame([(0, bytearray(Path(path).read_bytes()), _form(path))], "id long, content binary, format string")
+        Path(target).write_bytes(bytes(analyzers.convert_files(files, form, **options).first()["content"]))
+        return target
 
     def export(self, output: str, form: str = "json") -> None:
         """All samples by path as a folder of JSON lines or CSV files."""

@@ -1,12 +1,16 @@
 """Whole verbs over temporary folders."""
 
+import http.client
+import json
 import os
+import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auralith.api import Library
+from auralith.api import Library, convert_target
+from auralith.service import serve
 from auralith.sources import audio, scan
 from auralith.streaming.incremental import analyze_stream, scan_stream, windowed_levels
 
@@ -67,6 +71,7 @@ def test_verbs(spark, folder, tmp_path):
     lib.convert(f"{folder}/bells/tone.aif", f"{tmp_path}/tone.wav", rate=4000, channels=2)
     got = audio.read_wav((tmp_path / "tone.wav").read_bytes())
     assert (got.rate, got.channels, got.frames) == (4000, 2, 4000)
+    assert lib.convert(f"{folder}/bells/tone.aif", form="wav") == f"{folder}/bells/tone.wav"
     metrics, attributes, _ = lib.info(f"{folder}/bells/tone.aif")
     assert metrics["frequency_hz"] == pytest.approx(870, abs=30) and attributes["channel_layout"] == "mono"
 
@@ -97,3 +102,46 @@ def test_event_windows(spark, sf, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName("levels").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("select sum(n) from levels").first()[0] == events.count()
+
+
+def test_convert_targets():
+    assert convert_target("/a/b.wav", form="aiff") == ("/a/b.aiff", "aiff")
+    assert convert_target("/a/b.wav", "/c", "wav") == ("/c.wav", "wav")
+    assert convert_target("/a/b.wav", "/c.aif") == ("/c.aif", "aiff")
+    for bad in (("", ""), ("/c.txt", ""), ("/c.wav", "aiff"), ("", "doc")):
+        with pytest.raises(ValueError):
+            convert_target("/a/b.wav", *bad)
+
+
+def test_service(spark, folder, tmp_path):
+    lib = Library(spark, f"file://{tmp_path}/lib")
+    lib.scan(folder)
+    lib.analyze()
+    lib.add_tag(f"{folder}/kicks/deep.wav", "My Tag")
+    lib.cluster(2)
+    server = serve(lib, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def get(path, method="GET"):
+        link = http.client.HTTPConnection("127.0.0.1", server.server_address[1], timeout=120)
+        link.request(method, path)
+        reply = link.getresponse()
+        body = reply.read()
+        return reply.status, json.loads(body) if reply.headers["Content-Type"] == "application/json" else body
+
+    try:
+        assert get("/api/health") == (200, {"status": "ok"})
+        assert get("/")[0] == 200 and get("/api/health", "POST")[0] == 405 and get("/api/nothing")[0] == 404
+        status, rows = get("/api/samples?q=DEEP")
+        assert status == 200 and len(rows) == 2
+        number = rows[1]["id"]
+        assert rows[1]["tags"] == ["my tag"] and get(f"/api/samples/{number}")[1]["file_name"] == "deep.wav"
+        assert get(f"/api/samples/{number}/audio")[1][:4] == b"RIFF"
+        assert get("/api/samples/999")[0] == 404 and get("/api/samples/x")[0] == 400
+        assert [(t["normalized_name"], t["sample_count"]) for t in get("/api/tags")[1]] == [("my tag", 1)]
+        assert [r["id"] for r in get("/api/tags/My%20Tag/samples")[1]] == [number]
+        clusters = get("/api/clusters?projection=pca")[1]
+        assert sum(len(c["members"]) for c in clusters) == 4
+        assert get(f"/api/clusters/{clusters[0]['id']}")[1]["label"] == clusters[0]["label"] and get("/api/clusters/99")[0] == 404
+    finally:
+        server.shutdown()
