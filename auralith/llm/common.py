@@ -7,13 +7,14 @@ import ctypes
 import gc
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auralith.operators.components import shared_dir
 
@@ -88,29 +89,36 @@ def keep_between_tasks(owner: str, cache) -> None:
 
 def release_others(owner: str | None) -> None:
     """Workers live on from one operator to the next: empties the caches of all operators but the owner."""
-    held = [c for name, caches in _kept.items() if name != owner for c in caches if c]
-    for cache in held:
-        cache.clear()
-    if held:
-        with contextlib.suppress(OSError, AttributeError):  # give the freed pages back where the C library can
-            ctypes.CDLL(None).malloc_trim(0)
+    for name, caches in _kept.items():
+        for cache in caches if name != owner else ():
+            cache.clear()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: idle workers count as well as busy ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20, owner: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that each holds about `most` bytes of text, one row at least."""
     release_others(owner)
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
-        ends = np.cumsum(size)
-        start = 0
-        while start < n:
-            before = int(ends[start - 1]) if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+    try:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+            ends = np.cumsum(size)
+            start = 0
+            while start < n:
+                before = int(ends[start - 1]) if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+                yield batch.slice(start, stop - start)
+                start = stop
+    finally:
+        give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -162,3 +170,26 @@ def connected_components(edges: DataFrame, tables: Tables, name: str = "cc") ->
     labels = now.groupBy("u").agg(F.min("v").alias("v"))
     nodes = labels.unionByName(labels.select(F.col("v").alias("u"), "v")).distinct()
     return nodes.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def rewrite(df: DataFrame, found: DataFrame, change: Callable[[str, list], str | None], id_col: str, text_col: str) -> DataFrame:
+    """The input's rows and columns with change(text, what) as the text where found has a row (doc_id, what) for the id;
+    rows for which that is None go. Null texts stay as they are."""
+    whole = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[id_col].cast("long").alias("id"))
+    joined = whole.join(found.select("doc_id", "what"), F.col("id") == F.col("doc_id"), "left").select("row", "what")
+    names = df.columns
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                row = part.column("row")
+                texts, whats = pc.struct_field(row, [names.index(text_col)]).to_pylist(), part.column("what").to_pylist()
+                new = [t if not w or t is None else change(t, w) for t, w in zip(texts, whats, strict=True)]
+                keep = pa.array([n is not None or t is None for n, t in zip(new, texts, strict=True)])
+                fields = [pa.array(new, pa.string()) if n == text_col else pc.struct_field(row, [k]) for k, n in enumerate(names)]
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(row.type))], ["row"]).filter(keep)
+        give_back()
+
+    done = joined.mapInArrow(run, T.StructType([joined.schema["row"]]))
+    return done.select(*[F.col("row").getField(c).alias(c) for c in names])

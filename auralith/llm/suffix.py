@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import answer, blocks, cell_bits, expand, gather, read_block, send, squeeze
-from .common import Tables, mix64, text_slices
+from .common import Tables, mix64, rewrite
 
 MIN_WORDS = 50
 OPENING = 10
@@ -184,20 +184,5 @@ def remove_repeats(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id"
     Documents of which nothing is left go; texts without such passages (null ones too) stay as they are.
     """
     found = passages(df, least, id_col, text_col).where("not first")
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("spans"))
-    whole = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
-    joined = whole.join(spans, F.col("id") == F.col("doc_id"), "left")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in text_slices(batches, "text"):
-            texts = [t if not s or t is None else cut(t, [(x["start"], x["n_words"]) for x in s]) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            gone = [bool(s) and not t for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(gone, pa.bool_())], ["row", "text", "gone"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("gone", T.BooleanType())])
-    done = joined.select("row", "text", "spans").mapInArrow(run, schema).where("not gone")
-    return done.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns])
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_words")).alias("what"))
+    return rewrite(df, spans, lambda text, found: cut(text, [(x["start"], x["n_words"]) for x in found]) or None, id_col, text_col)
