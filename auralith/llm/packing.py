@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Tables, keep_between_tasks, no_cycles, text_slices
+from .common import Tables, give_back, keep_between_tasks, no_cycles, text_slices
 
 WINDOW = 2048
 END_ID = 1
 #: Words a worker remembers, at about 150 bytes each.
-CACHED = 2_000_000
+CACHED = 1_500_000
 PUNCTUATION = b".,;:!?*#$%&"
 
 
@@ -37,19 +37,36 @@ class WordTokenizer:
     the punctuation that ends a word, and its normalisation is local to such parts: a text's ids are its
     parts' ids in a row. Parts not met before are encoded a thousand at a time with blanks between them and
     told apart by their offsets; words with other than Latin letters or the start of a special token go alone.
+    What is met again while it is remembered stays; what is not is forgotten with the task that met it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.lasting: dict[bytes, bytes] = {}
+        self.recent: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
-        cache, ends, parts = self.cache, {}, set()
+    def _recall(self, parts: set[bytes], found: dict[bytes, bytes]) -> set[bytes]:
+        """Puts what is remembered of the parts into found; returns the others."""
+        lasting, recent, new = self.lasting, self.recent, set()
+        for w in parts:
+            if (ids := lasting.get(w)) is None:
+                if (ids := recent.pop(w, None)) is None:
+                    new.add(w)
+                    continue
+                lasting[w] = ids
+            found[w] = ids
+        return new
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not lasting."""
+        found: dict[bytes, bytes] = {}
+        words = self._recall(words, found)
+        ends, parts = {}, set()
         for w in words:
             stem = w.rstrip(PUNCTUATION)
             if len(stem) < len(w) and stem and stem[-1:].isalnum() and b"<|" not in w:
@@ -57,46 +74,49 @@ class WordTokenizer:
                 parts.update(ends[w])
             else:
                 parts.add(w)
-        plain = []
-        for w in parts.difference(cache):
+        plain, fresh = [], {}
+        for w in self._recall(parts, found):
             text = w.decode()
             if b"<|" in w or not (text.isascii() or max(text) < "\u0180" and not any(c.isspace() for c in text)):
-                cache[w] = self._ids(text)
+                fresh[w] = self._ids(text)
             else:
                 plain.append((w, text))
         for k in range(0, len(plain), 1000):
             part = plain[k : k + 1000]
             starts = np.cumsum([0, *(len(t) + 1 for _, t in part)])
-            found = self.library.encode(" ".join([t for _, t in part]), add_special_tokens=False)
-            raw = np.array(found.ids, "<u4").tobytes()
-            cuts = (4 * np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), starts)).tolist()
-            cache.update((w, raw[a:b]) for (w, _), a, b in zip(part, cuts, cuts[1:], strict=False))
+            encoded = self.library.encode(" ".join([t for _, t in part]), add_special_tokens=False)
+            raw = np.array(encoded.ids, "<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array([a for a, _ in encoded.offsets], np.int64), starts)).tolist()
+            fresh.update((w, raw[a:b]) for (w, _), a, b in zip(part, cuts, cuts[1:], strict=False))
+        found.update(fresh)
         for w, (stem, end) in ends.items():
-            cache[w] = cache[stem] + cache[end]
+            found[w] = fresh[w] = found[stem] + found[end]
+        self.recent.update(fresh)
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        get, rows, fresh = self.cache.get, [], set()
+        for held in (self.lasting, self.recent):
+            if len(held) > CACHED:
+                held.clear()
+        get, rows, fresh = self.lasting.get, [], set()
         for t in texts:
             raw = (t or "").encode()
             words = (raw if b"<|" in raw else raw.lower()).split()
             ids = list(map(get, words))
             if None in ids:
                 fresh.update(w for w, x in zip(words, ids, strict=True) if x is None)
-                rows.append(words)
+                rows.append((words, ids))
             else:
                 rows.append(b"".join(ids))
-        if fresh:
-            self._learn(fresh)
-        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in rows]
+        found = self._learn(fresh) if fresh else {}
+        return [x if isinstance(x, bytes) else b"".join([found[w] if i is None else i for w, i in zip(*x, strict=True)]) for x in rows]
 
 
 @lru_cache(2)
 def tokenizer(path: str) -> WordTokenizer:
     work = WordTokenizer(path)
-    keep_between_tasks("packing", work.cache)
+    keep_between_tasks("packing", work.lasting)
     return work
 
 
@@ -194,8 +214,12 @@ def pieces(df: DataFrame, tokenizer_file: str, window: int = WINDOW, id_col: str
     k numbers the pieces of a length within a partition."""
 
     def run(batches):
-        with no_cycles():
-            yield from cut_up(batches)
+        try:
+            with no_cycles():
+                yield from cut_up(batches)
+        finally:
+            tokenizer(tokenizer_file).recent.clear()
+            give_back()
 
     def cut_up(batches):
         work, counts, part = tokenizer(tokenizer_file), {}, 0
