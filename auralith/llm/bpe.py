@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import keep_between_tasks, text_slices
+from .common import keep_between_tasks, no_cycles, text_slices
 
 # Symbols: letter, number, other, apostrophe + one letter, apostrophe + two letters, last blank before
 # something, last other white space before something, any other white space, end of a text.
@@ -277,7 +277,10 @@ def encode_documents(df: DataFrame, rank_file: str, id_col: str = "doc_id", text
     """
 
     def run(batches):
-        work = codec(rank_file)
+        with no_cycles():
+            yield from encoded(codec(rank_file), batches)
+
+    def encoded(work, batches):
         for batch in text_slices(batches, "text", 1 << 20, "bpe"):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             if output == "ids":
