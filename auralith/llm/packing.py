@@ -10,6 +10,7 @@ among the pieces of its length, and no group of pieces is ever brought together.
 
 from __future__ import annotations
 
+import contextlib
 import math
 import zlib
 from functools import lru_cache
@@ -104,13 +105,18 @@ class WordTokenizer:
             raw = (t or "").encode()
             words = (raw if b"<|" in raw else raw.lower()).split()
             ids = list(map(get, words))
-            if None in ids:
-                fresh.update(w for w, x in zip(words, ids, strict=True) if x is None)
-                rows.append((words, ids))
-            else:
-                rows.append(b"".join(ids))
+            gaps, at = [], -1
+            with contextlib.suppress(ValueError):  # the places of None, found without a step per word
+                while True:
+                    at = ids.index(None, at + 1)
+                    gaps.append((at, words[at]))
+            fresh.update(w for _, w in gaps)
+            rows.append((ids, gaps))
         found = self._learn(fresh) if fresh else {}
-        return [x if isinstance(x, bytes) else b"".join([found[w] if i is None else i for w, i in zip(*x, strict=True)]) for x in rows]
+        for ids, gaps in rows:
+            for at, w in gaps:
+                ids[at] = found[w]
+        return [b"".join(ids) for ids, _ in rows]
 
 
 @lru_cache(2)
