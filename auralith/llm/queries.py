@@ -47,7 +47,7 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy_lines.line_groups(table(spark, sf_dir, "documents"))
+    return fuzzy_lines.line_groups(table(spark, sf_dir, "documents"), wide=fuzzy_lines.WIDE)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
