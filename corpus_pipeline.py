@@ -17,8 +17,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first of equal and nearly equal lines; documents left without a line of five words go."""
-    return fuzzy_lines.remove_lines(docs, wide=fuzzy_lines.WIDE)
+    """Keeps the first of equal and nearly equal lines; documents left without a word go."""
+    return fuzzy_lines.remove_lines(docs, wide=fuzzy_lines.WIDE, least_words=1)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
