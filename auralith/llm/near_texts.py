@@ -2,7 +2,7 @@
 
 Texts that share four fifths of their five-word shingles differ in some ten of 64 bits. So the fingerprints of
 simhash.py are compared up to a radius at which unrelated texts may meet, and a link also needs a Jaccard
-similarity of the shingle sets. Texts of equal fingerprint are one class, compared through the one with the
+similarity of the shingle sets. With `wide`, texts that share a min-hash band of their shingles meet too. Texts of equal fingerprint are one class, compared through the one with the
 smallest id.
 """
 
@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import Tables, bit_filter, text_slices
 from .simhash import LARGE, fingerprint, shingle_hashes
-from .verified import verified_parts
+from .verified import BAND_COLUMNS, band_columns, verified_parts
 
 WORDS, RADIUS, SIMILARITY = 5, 8, 0.8
+#: Bits by which texts that share a min-hash band may differ: those of similarity 0.8 differ in ten on average.
+WIDE = 20
 #: Bits of the filter that says which documents' shingles to fetch: 2 MB, whatever the corpus.
 FILTER_BITS = 1 << 24
 
@@ -34,15 +36,15 @@ def jaccard(x: bytes, y: bytes) -> float:
     return shared / whole if whole else 1.0
 
 
-def near_texts(df: DataFrame, words: int = WORDS, radius: int = RADIUS, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE) -> DataFrame:
+def near_texts(df: DataFrame, words: int = WORDS, radius: int = RADIUS, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE, wide: int | None = None) -> DataFrame:
     """(doc_id, component_id): one row per input row whose id is not null; component_id is the smallest doc_id reachable.
 
     Texts link if their fingerprints are equal, or differ in at most `radius` bits while their shingle sets' Jaccard
-    similarity is at least `least`. Null, empty and blank texts have no shingles and fingerprint zero: they link with
+    similarity is at least `least`; with `wide`, also if they share a min-hash band and differ in at most that many bits. Null, empty and blank texts have no shingles and fingerprint zero: they link with
     one another. Rows with a null id are left out; rows that share an id are one document if their texts link, and
     else appear each; an empty table gives no rows.
     """
-    tables = Tables(df.sparkSession, "near-texts")
+    tables, bands = Tables(df.sparkSession, "near-texts"), BAND_COLUMNS if wide else ()
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).where("doc_id is not null")
 
     def read(batches):
@@ -50,10 +52,11 @@ def near_texts(df: DataFrame, words: int = WORDS, radius: int = RADIUS, least: f
             hashes = [shingle_hashes(t or "", words) for t in batch.column("text").to_pylist()]
             prints = np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64)
             size = [len(np.unique((h >> np.uint64(32)).astype("<u4"))) for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints), pa.array(size, pa.int32())], ["doc_id", "fp", "size"])
+            own = band_columns(np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.array([len(h) for h in hashes], np.int64)) if bands else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints), pa.array(size, pa.int32()), *map(pa.array, own)], ["doc_id", "fp", "size", *bands])
 
-    prints = tables.keep(rows.mapInArrow(read, "doc_id long, fp long, size int"), "prints")
-    classes = tables.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min_by("size", "doc_id").alias("size")).select(F.col("fp").alias("h"), "fp", "first", "size"), "classes")
+    prints = tables.keep(rows.mapInArrow(read, ", ".join(["doc_id long, fp long, size int", *(f"{c} long" for c in bands)])), "prints")
+    classes = tables.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("size", *bands), "doc_id").alias("of")).select(F.col("fp").alias("h"), "fp", "first", "of.*"), "classes")
 
     def fetch(pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(classes.select("h", "first"), "h")
@@ -70,7 +73,7 @@ def near_texts(df: DataFrame, words: int = WORDS, radius: int = RADIUS, least: f
         found = rows.mapInArrow(send, "first long, h long, line binary").join(need, ["first", "h"])
         return tables.keep(found.groupBy("h").agg(F.first("line").alias("line")), "sets")
 
-    parts = verified_parts(classes, df, tables, fetch, lambda x, y: jaccard(x, y) >= least, radius, least, large)
+    parts = verified_parts(classes, df, tables, fetch, lambda x, y: jaccard(x, y) >= least, radius, least, large, wide)
     of = classes.join(parts, classes["h"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "h").alias("part"))
     named = of.groupBy("part").agg(F.min("first").alias("component_id"))
     by_print = tables.keep(of.join(named, "part").select("fp", "component_id"), "named")
@@ -78,8 +81,8 @@ def near_texts(df: DataFrame, words: int = WORDS, radius: int = RADIUS, least: f
     return prints.join(by_print, "fp").select("doc_id", "component_id")
 
 
-def one_of_each(df: DataFrame, words: int = WORDS, radius: int = RADIUS, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(df: DataFrame, words: int = WORDS, radius: int = RADIUS, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", wide: int | None = None) -> DataFrame:
     """The input's rows, all columns, but those of documents linked to one with a smaller id. Rows that share an id
     are one document; rows with a null id stay."""
-    found = near_texts(df, words, radius, least, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    found = near_texts(df, words, radius, least, id_col, text_col, wide=wide).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return df.join(found, df[id_col].cast("long") == found["__gone"], "left_anti")

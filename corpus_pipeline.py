@@ -23,7 +23,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by fingerprints of five-word shingles and a similarity of 0.8."""
-    return near_texts.one_of_each(docs)
+    return near_texts.one_of_each(docs, wide=near_texts.WIDE)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
