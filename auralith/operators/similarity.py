@@ -27,7 +27,30 @@ def compare(a: Column, b: Column, metric: str) -> tuple[Column, Column]:
     raise ValueError(f"unsupported metric {metric!r}")
 
 
-def _compare_blocks(x: np.ndarray, y: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+def _refine(x: np.ndarray, y: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Row against row, from the differences themselves."""
+    if metric == "cosine":
+        s = (x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+        return s, 1 - s
+    d = np.sqrt(((x - y) ** 2).sum(1))
+    return 1 / (1 + d), d
+
+
+def first_copies(x: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Whether a row is among the k + 1 smallest ids of the rows equal to it: by ties no other is among the best k."""
+    _, group = np.unique(x, axis=0, return_inverse=True)
+    order = np.lexsort((ids, group.reshape(-1)))
+    own = group.reshape(-1)[order]
+    start = np.searchsorted(own, own)
+    out = np.empty(len(x), bool)
+    out[order] = np.arange(len(x)) - start <= k
+    return out
+
+
+def bounds(x: np.ndarray, y: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities of all rows from below and above, by more than block arithmetic can be off."""
+    if metric not in METRICS:
+        raise ValueError(f"unsupported metric {metric!r}")
     if x.shape[1] != y.shape[1]:
         raise ValueError("vector dimensions differ")
     if metric == "cosine":
@@ -35,20 +58,30 @@ def _compare_blocks(x: np.ndarray, y: np.ndarray, metric: str) -> tuple[np.ndarr
         if not (nx.all() and ny.all()):
             raise ValueError("cosine of a zero vector")
         s = (x @ y.T) / np.outer(nx, ny)
-        return s, 1 - s
-    if metric == "euclidean":
-        d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * (x @ y.T)))
-        return 1 / (1 + d), d
-    raise ValueError(f"unsupported metric {metric!r}")
+        return s - 1e-12, s + 1e-12
+    xx, yy = (x * x).sum(1)[:, None], (y * y).sum(1)
+    d, slack = xx + yy - 2 * (x @ y.T), 1e-12 * (xx + yy)
+    low, high = (1 / (1 + np.sqrt(np.maximum(0, v))) for v in (d + slack, d - slack))
+    return low - 1e-15, high + 1e-15
 
 
-def _refine(x: np.ndarray, y: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """Row against row, from the differences themselves."""
-    if metric == "cosine":
-        s = (x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-        return s, 1 - s
-    d = np.sqrt(((x - y) ** 2).sum(1))
-    return 1 / (1 + d), d
+def refined(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity and distance of the pairs (x[i], y[j]), some at a time."""
+    out = [_refine(x[i[k : k + 65_536]], y[j[k : k + 65_536]], metric) for k in range(0, max(1, len(i)), 65_536)]
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+
+def best_rows(x: np.ndarray, y: np.ndarray, usable: np.ndarray, others: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, ...]:
+    """(i, j, similarity, distance): for each row of x its best k rows of y among the usable, ties by others[j]."""
+    low, high = bounds(x, y, metric)
+    low[~usable] = high[~usable] = -np.inf
+    least = np.partition(low, -k, axis=1)[:, -k][:, None] if k < low.shape[1] else -np.inf
+    i, j = np.nonzero(usable & (high >= least))  # all that may be among the best k, however many are as good
+    s, d = refined(x, y, i, j, metric)
+    order = np.lexsort((others[j], -s, i))
+    i, j, s, d = i[order], j[order], s[order], d[order]
+    top = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[top], j[top], s[top], d[top]
 
 
 def pairwise_top(vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
@@ -58,13 +91,14 @@ def pairwise_top(vectors: DataFrame, k: int, metric: str = "cosine") -> DataFram
 
     def solve(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         a, b = matrix(x["values"]), matrix(y["values"])
-        s, _ = _compare_blocks(a, b, metric)
         left, right = x["sample_id"].to_numpy(), y["sample_id"].to_numpy()
         own = x["lb"].iloc[0] == y["rb"].iloc[0]
-        i, j = np.nonzero(left[:, None] < right[None, :]) if own else (v.ravel() for v in np.indices(s.shape))
-        best = np.argpartition(-s[i, j], min(4 * k, len(i) - 1))[: 4 * k + 1] if len(i) > 4 * k else np.arange(len(i))
-        i, j = i[best], j[best]
-        s, d = _refine(a[i], b[j], metric)
+        low, high = bounds(a, b, metric)
+        usable = first_copies(a, left, k)[:, None] & first_copies(b, right, k) & ((left[:, None] < right) if own else True)
+        low = low[usable]
+        least = np.partition(low, -k)[-k] if k < len(low) else -np.inf
+        i, j = np.nonzero(usable & (high >= least))  # all that may be among the best k, however many are as good
+        s, d = refined(a, b, i, j, metric)
         out = pd.DataFrame({"left_id": np.minimum(left[i], right[j]), "right_id": np.maximum(left[i], right[j]), "similarity": s, "distance": d})
         return out.sort_values(["similarity", "left_id", "right_id"], ascending=[False, True, True]).head(k)
 
@@ -79,15 +113,9 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, metric: str = "co
 
     def solve(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         a, b = matrix(x["values"]), matrix(y["values"])
-        s, _ = _compare_blocks(a, b, metric)
         ids, others = x["sample_id"].to_numpy(), y["sample_id"].to_numpy()
-        s[ids[:, None] == others[None, :]] = -np.inf
-        m = min(len(others), k + 8)
-        best = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        i, j = np.repeat(np.arange(len(ids)), m), best.ravel()
-        keep = np.isfinite(s[i, j])
-        i, j = i[keep], j[keep]
-        sim, d = _refine(a[i], b[j], metric)
+        usable = (ids[:, None] != others) & first_copies(b, others, k)
+        i, j, sim, d = best_rows(a, b, usable, others, k, metric)
         return pd.DataFrame({"query_id": ids[i], "sample_id": others[j], "similarity": sim, "distance": d})
 
     found = block_join(queries, candidates, "sample_id", solve, "query_id long, sample_id long, similarity double, distance double")

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from auralith.functions.exprs import distinct_first, normalize_name
 from auralith.functions.rules import RuleError, compile_rule
 from auralith.operators.blocks import block_join, matrix
+from auralith.operators.similarity import best_rows, first_copies
 
 # fixed values: path words that say nothing, numbers that do, metadata keys in order, default labels, prompt lines
 PATH_STOP_WORDS = "audio clip clips file files fx hit hits library loop loops one pack sample samples shot shots sound sounds stem stems track tracks".split()
@@ -100,14 +101,10 @@ def knn_tags(queries: DataFrame, examples: DataFrame, k: int = KNN_K, limit: int
 
     def solve(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         a, b = matrix(x["values"]), matrix(y["values"])
-        if a.shape[1] != b.shape[1]:
-            raise ValueError("vector dimensions differ")
-        rough = (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-        m = min(len(b), k + 8)
-        near = np.argpartition(rough, m - 1, axis=1)[:, :m]
-        i, j = np.repeat(np.arange(len(a)), m), near.ravel()
-        weight = 1 / (1 + np.sqrt(((a[i] - b[j]) ** 2).sum(1)))
-        return pd.DataFrame({"query": x["sample_id"].to_numpy()[i], "example": y["sample_id"].to_numpy()[j], "weight": weight, "tags": y["tags"].to_numpy()[j]})
+        examples_ids = y["sample_id"].to_numpy()
+        usable = np.broadcast_to(first_copies(b, examples_ids, k), (len(a), len(b)))
+        i, j, weight, _ = best_rows(a, b, usable, examples_ids, k, "euclidean")
+        return pd.DataFrame({"query": x["sample_id"].to_numpy()[i], "example": examples_ids[j], "weight": weight, "tags": y["tags"].to_numpy()[j]})
 
     found = block_join(queries.select("sample_id", "values"), examples.select("sample_id", "values", "tags"), "sample_id", solve, "query long, example long, weight double, tags array<string>")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("weight"), "example"))).where(F.col("r") <= k)
