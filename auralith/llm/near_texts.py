@@ -2,8 +2,8 @@
 
 Texts that share four fifths of their five-word shingles differ in some ten of 64 bits. So the fingerprints of
 simhash.py are compared up to a radius at which unrelated texts may meet, and a link also needs a Jaccard
-similarity of the shingle sets. With `wide`, texts that share a min-hash band of their shingles meet too. Texts of equal fingerprint are one class, compared through the one with the
-smallest id.
+similarity of the shingle sets, also where fingerprints are equal. With `wide`, texts that share a min-hash band of
+their shingles meet too. Texts of the same shingle set are one class, compared through the one with the smallest id.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, bit_filter, text_slices
+from .common import Tables, bit_filter, mix64, text_slices
 from .simhash import LARGE, fingerprint, shingle_hashes
 from .verified import BAND_COLUMNS, band_columns, verified_parts
 
@@ -24,9 +24,14 @@ WIDE = 20
 FILTER_BITS = 1 << 24
 
 
-def shingle_set(text: str, words: int) -> bytes:
+def shingle_set(hashes: np.ndarray) -> bytes:
     """The distinct shingles of a text as sorted 32-bit numbers."""
-    return np.unique((shingle_hashes(text, words) >> np.uint64(32)).astype("<u4")).tobytes()
+    return np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
+
+
+def set_hash(hashes: np.ndarray) -> int:
+    """Names the set of the shingle hashes, whatever their order and number; signed."""
+    return int(mix64(np.unique(hashes).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
 
 
 def jaccard(x: bytes, y: bytes) -> float:
@@ -39,9 +44,9 @@ def jaccard(x: bytes, y: bytes) -> float:
 def near_texts(df: DataFrame, words: int = WORDS, radius: int = RADIUS, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE, wide: int | None = None) -> DataFrame:
     """(doc_id, component_id): one row per input row whose id is not null; component_id is the smallest doc_id reachable.
 
-    Texts link if their fingerprints are equal, or differ in at most `radius` bits while their shingle sets' Jaccard
-    similarity is at least `least`; with `wide`, also if they share a min-hash band and differ in at most that many bits. Null, empty and blank texts have no shingles and fingerprint zero: they link with
-    one another. Rows with a null id are left out; rows that share an id are one document if their texts link, and
+    Texts link if their shingle sets are equal, or their fingerprints differ in at most `radius` bits while the sets'
+    Jaccard similarity is at least `least`; with `wide`, also if they share a min-hash band and differ in at most that
+    many bits. Null, empty and blank texts have no shingles: they link with one another. Rows with a null id are left out; rows that share an id are one document if their texts link, and
     else appear each; an empty table gives no rows.
     """
     tables, bands = Tables(df.sparkSession, "near-texts"), BAND_COLUMNS if wide else ()
@@ -51,12 +56,14 @@ def near_texts(df: DataFrame, words: int = WORDS, radius: int = RADIUS, least: f
         for batch in text_slices(batches, "text", 1 << 20):
             hashes = [shingle_hashes(t or "", words) for t in batch.column("text").to_pylist()]
             prints = np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64)
+            sets = pa.array([set_hash(h) for h in hashes], pa.int64())
             size = [len(np.unique((h >> np.uint64(32)).astype("<u4"))) for h in hashes]
             own = band_columns(np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.array([len(h) for h in hashes], np.int64)) if bands else []
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints), pa.array(size, pa.int32()), *map(pa.array, own)], ["doc_id", "fp", "size", *bands])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets, pa.array(prints), pa.array(size, pa.int32()), *map(pa.array, own)], ["doc_id", "h", "fp", "size", *bands])
 
-    prints = tables.keep(rows.mapInArrow(read, ", ".join(["doc_id long, fp long, size int", *(f"{c} long" for c in bands)])), "prints")
-    classes = tables.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("size", *bands), "doc_id").alias("of")).select(F.col("fp").alias("h"), "fp", "first", "of.*"), "classes")
+    prints = tables.keep(rows.mapInArrow(read, ", ".join(["doc_id long, h long, fp long, size int", *(f"{c} long" for c in bands)])), "prints")
+    # rows of a set may differ in how often they have a shingle, so in the fingerprint: any one's does
+    classes = tables.keep(prints.groupBy("h").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("size", *bands))), "classes")
 
     def fetch(pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(classes.select("h", "first"), "h")
@@ -67,18 +74,18 @@ def near_texts(df: DataFrame, words: int = WORDS, radius: int = RADIUS, least: f
                 at = np.asarray(batch.column("doc_id")).view(np.uint64) % np.uint64(FILTER_BITS)
                 hit = np.flatnonzero(wanted.value[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1))
                 part = batch.take(pa.array(hit))
-                sets = [(shingle_set(t or "", words), fingerprint(shingle_hashes(t or "", words))) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array([f for _, f in sets], np.uint64).view(np.int64)), pa.array([s for s, _ in sets], pa.binary())], ["first", "h", "line"])
+                hashes = [shingle_hashes(t or "", words) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([set_hash(h) for h in hashes], pa.int64()), pa.array([shingle_set(h) for h in hashes], pa.binary())], ["first", "h", "line"])
 
         found = rows.mapInArrow(send, "first long, h long, line binary").join(need, ["first", "h"])
         return tables.keep(found.groupBy("h").agg(F.first("line").alias("line")), "sets")
 
     parts = verified_parts(classes, df, tables, fetch, lambda x, y: jaccard(x, y) >= least, radius, least, large, wide)
-    of = classes.join(parts, classes["h"] == parts["node"], "left").select("fp", "first", F.coalesce("component", "h").alias("part"))
+    of = classes.join(parts, classes["h"] == parts["node"], "left").select("h", "first", F.coalesce("component", "h").alias("part"))
     named = of.groupBy("part").agg(F.min("first").alias("component_id"))
-    by_print = tables.keep(of.join(named, "part").select("fp", "component_id"), "named")
+    by_set = tables.keep(of.join(named, "part").select("h", "component_id"), "named")
     tables.drop_but("prints", "named")
-    return prints.join(by_print, "fp").select("doc_id", "component_id")
+    return prints.join(by_set, "h").select("doc_id", "component_id")
 
 
 def one_of_each(df: DataFrame, words: int = WORDS, radius: int = RADIUS, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", wide: int | None = None) -> DataFrame:
