@@ -80,7 +80,7 @@ def near_texts(df: DataFrame, words: int = WORDS, radius: int = RADIUS, least: f
         found = rows.mapInArrow(send, "first long, h long, line binary").join(need, ["first", "h"])
         return tables.keep(found.groupBy("h").agg(F.first("line").alias("line")), "sets")
 
-    parts = verified_parts(classes, df, tables, fetch, lambda x, y: jaccard(x, y) >= least, radius, least, large, wide)
+    parts = verified_parts(classes, df, tables, fetch, lambda x, y: jaccard(x, y) >= least, radius, least, large, (lambda size: np.full(len(size), wide)) if wide else None)
     of = classes.join(parts, classes["h"] == parts["node"], "left").select("h", "first", F.coalesce("component", "h").alias("part"))
     named = of.groupBy("part").agg(F.min("first").alias("component_id"))
     by_set = tables.keep(of.join(named, "part").select("h", "component_id"), "named")
