@@ -5,7 +5,8 @@ Pivots partition the vectors into cells by nearest pivot. A vector visits anothe
 inequality lets it be within r of a member: its distance to that cell's pivot lies within r of the members'
 range of distances, and its distance to the bisecting plane is at most r. Each pair of cells is met in one
 direction; a cell is dealt out in blocks of bounded size, each of which joins with its visitors as a stream.
-Equal vectors are one class from the start. A block sends sums of links and a spanning forest, never pairs.
+Equal vectors are one class from the start, with a number of its own. A block sends sums of links and a spanning
+forest, never pairs. Pivots grow with the square root of the vectors, which bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -17,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, connected_components
+from .common import Tables, connected_components, mix64
 from .simhash import join_sets
 
-#: Vectors that a cell should have, that a block has at most on average, and that pivots are chosen from.
+#: Vectors that a cell should have, that a block has on average at most, and that pivots are chosen from (or the square
+#: root of all vectors, if that is more).
 CELL, BLOCK, SAMPLE = 4096, 8192, 4096
+#: Vectors looked at together when they are dealt out, against all pivots.
+SLICE = 256
 SLACK = 1e-9
 
 
@@ -78,12 +82,13 @@ def near_vectors(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", vect
     radius = math.sqrt(max(0.0, 2 - 2 * least)) + SLACK
     read, kind = vectors(df, id_col, vector_col)
     rows = tables.keep(read, "rows")
-    classes = tables.keep(rows.where("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.first("vec").alias("vec"), F.first("dim").alias("dim")), "classes")
+    grouped = rows.where("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("name"), F.count("*").alias("m"), F.first("vec").alias("vec"), F.first("dim").alias("dim"))
+    classes = tables.keep(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")  # numbered once, as written
     pivots = {}
     for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect():  # a row a vector length
-        own = classes.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()
+        own = classes.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("k1"), "k1", "k2").limit(max(SAMPLE, math.isqrt(r["n"]))).select("vec").collect()
         pivots[r["dim"]] = choose_pivots(_unit([x["vec"] for x in own], kind), -(-r["n"] // cell))
-    shared = spark.sparkContext.broadcast(pivots)  # at most n / cell vectors of a length, and SAMPLE
+    shared = spark.sparkContext.broadcast(pivots)  # of a length at most n / cell vectors, SAMPLE or the square root of n
 
     def home(batches):
         for batch in batches:
@@ -102,34 +107,35 @@ def near_vectors(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", vect
 
     def deal(batches):
         """Rows for the blocks: every vector to its own block and, as a visitor, to the later ones it may have links in."""
+        spans = {}
+        for d, own in shared.value.items():  # an empty cell is in no one's reach
+            ends = [bounds.value.get((d, k), (np.inf, -np.inf, 0)) for k in range(len(own))]
+            spans[d] = tuple(np.array(x) for x in zip(*ends, strict=True))
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
-                data, dims, cells, ids = part.column("vec").to_pylist(), np.asarray(part.column("dim")), np.asarray(part.column("cell")), np.asarray(part.column("id"))
-                picks = []  # (row, cell, block, visitor)
-                for d in np.unique(dims):
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                data, dims, cells = part.column("vec").to_pylist(), np.asarray(part.column("dim")), np.asarray(part.column("cell"))
+                turn_of = mix64(np.asarray(part.column("id")).view(np.uint64))
+                for d in np.unique(dims).tolist():
                     at = np.flatnonzero(dims == d)
-                    own = shared.value[int(d)]
+                    own, (lo, hi, blocks) = shared.value[d], spans[d]
                     near = _unit([data[k] for k in at], kind) @ own.T
-                    gaps = np.sqrt(np.maximum(0, 2 - 2 * own @ own.T))
-                    for q in range(len(own)):
-                        if (int(d), q) not in bounds.value:
-                            continue
-                        lo, hi, blocks = bounds.value[int(d), q]
-                        far = np.sqrt(np.maximum(0, 2 - 2 * near[:, q]))
-                        p = cells[at]
-                        plane = near[np.arange(len(at)), p] - near[:, q] <= (radius + SLACK) * gaps[p, q] + SLACK
-                        come = at[(p < q) & plane & (far >= lo - radius - 1e-7) & (far <= hi + radius + 1e-7)]
-                        picks += [(come, q, b, 1) for b in range(blocks)]
-                        live = at[p == q]
-                        turn = np.abs(ids[live]) % blocks
-                        for b in range(blocks):
-                            picks.append((live[turn == b], q, b, 0))
-                            picks.append((live[turn < b], q, b, 1))
-                for row, q, b, visitor in picks:
-                    if len(row):
-                        t = part.take(pa.array(row))
-                        yield pa.RecordBatch.from_arrays([t.column("dim"), *(pa.array(np.full(len(row), x, np.int32)) for x in (q, b, visitor)), t.column("id"), t.column("m"), t.column("vec")], ["dim", "cell", "block", "visitor", "id", "m", "vec"])
+                    p, q = cells[at], np.arange(len(own))
+                    homes, which = np.unique(p, return_inverse=True)
+                    gaps = np.sqrt(np.maximum(0, 2 - 2 * own[homes] @ own.T))[which]
+                    far = np.sqrt(np.maximum(0, 2 - 2 * near))
+                    plane = near[np.arange(len(at)), p][:, None] - near <= (radius + SLACK) * gaps + SLACK
+                    come = (p[:, None] < q) & plane & (far >= lo - radius - 1e-7) & (far <= hi + radius + 1e-7)
+                    a, c = np.nonzero(come)
+                    # visitors go to every block of another cell and to the later ones of their own, members to one
+                    turn = (turn_of[at] % blocks[p].astype(np.uint64)).astype(np.int64)
+                    a, c, from_block = np.concatenate((a, np.arange(len(at)))), np.concatenate((c, p)), np.concatenate((np.zeros(len(a), np.int64), turn))
+                    times = blocks[c] - from_block
+                    row = np.repeat(np.arange(len(a)), times)
+                    block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + from_block[row]
+                    visitor = ~((row >= len(a) - len(at)) & (block == from_block[row]))
+                    t = part.take(pa.array(at[a[row]]))
+                    yield pa.RecordBatch.from_arrays([t.column("dim"), pa.array(c[row].astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(visitor.astype(np.int32)), t.column("id"), t.column("m"), t.column("vec")], ["dim", "cell", "block", "visitor", "id", "m", "vec"])
 
     dealt = housed.mapInArrow(deal, "dim int, cell int, block int, visitor int, id long, m long, vec binary")
     streams = dealt.repartition("dim", "cell", "block").sortWithinPartitions("dim", "cell", "block", "visitor")
@@ -214,8 +220,9 @@ def near_vectors(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", vect
     joined = tables.keep(streams.mapInArrow(join, "id long, links long, src long, dst long"), "links")
     linked = joined.where("id is not null").groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(joined.where("src is not null").select("src", "dst"), tables)
-    of = classes.select("k1", "k2", "id", "m").join(linked, "id", "left").join(parts, F.col("id") == F.col("node"), "left")
-    named = tables.keep(of.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "id").alias("component")), "named")
+    of = classes.select("k1", "k2", "id", "name", "m").join(linked, "id", "left").join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id"))
+    names = of.groupBy("part").agg(F.min("name").alias("component"))
+    named = tables.keep(of.drop("component").join(names, "part").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), "component"), "named")
     tables.drop_but("rows", "named")
     own = rows.where("ok").select("vec_id", "k1", "k2").join(named, ["k1", "k2"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

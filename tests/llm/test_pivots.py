@@ -46,6 +46,18 @@ def test_clusters_in_many_cells(spark, cell, block):
     assert got(spark, rows, 0.5, cell=cell, block=block) == brute(rows, 0.5)
 
 
+def test_one_id_with_other_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])]
+    assert got(spark, rows) == brute(rows, 0.9)
+
+
+def test_ids_in_step(spark):
+    """Ids that are all multiples of a number of blocks are dealt to all of them, with the same links."""
+    rng = np.random.default_rng(3)
+    rows = [(64 * k, (rng.standard_normal(3) * 0.2 + 1).astype(np.float32).tolist()) for k in range(200)]
+    assert got(spark, rows, 0.99, cell=100, block=16) == brute(rows, 0.99)
+
+
 def test_empty(spark):
     assert got(spark, [(1, [1.0])])[0] == ("1", 0, 1, True)
     assert pivot_join.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
