@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training is one scan that counts n-grams per language and partition in numpy and adds the dense count
-vectors in two steps; scoring is one scan with the log-probability matrix broadcast. Texts are handled
-in slices as one code point array, so no text costs a Python call per character.
+vectors in two steps; scoring is one scan with the log-probability matrix broadcast, each row as the buckets its language has
+(any number of languages: one of a few texts costs a few kilobytes). Texts are handled in slices as one code
+point array, so no text costs a Python call per character.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .bpe import _classes
 from .common import text_slices
 
 BUCKETS = 1 << 16
-#: Languages a model may have: bounds the broadcast matrix at this many rows of BUCKETS doubles.
-MAX_LANGS = 128
+#: Languages that a training task holds counts of at once.
+HELD = 64
 ALPHA = 0.5
 UNKNOWN = "und"
 
@@ -54,18 +55,24 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     langs: list[str]
-    log_p: np.ndarray  # (languages, BUCKETS)
+    rows: list[tuple[np.ndarray, np.ndarray, float]]  # of each: buckets met, their log-probabilities, that of any other
     prior: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.langs or not texts:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         text, bucket, letters = grams([t or "" for t in texts])
-        log_like = np.stack([np.bincount(text, row[bucket], len(texts)) for row in self.log_p], 1) + self.prior
-        best = log_like.argmax(1)
-        odds = np.exp(log_like - log_like.max(1, keepdims=True))
+        best, top, total = np.zeros(len(texts), np.int64), np.full(len(texts), -np.inf), np.zeros(len(texts))
+        for k, (met, log_p, other) in enumerate(self.rows):
+            row = np.full(BUCKETS, other)
+            row[met] = log_p
+            like = np.bincount(text, row[bucket], len(texts)) + self.prior[k]
+            higher = np.maximum(top, like)
+            total = total * np.exp(top - higher) + np.exp(like - higher)  # the odds, relative to the best so far
+            best[like > top] = k
+            top = higher
         known = letters > 0
-        score = np.where(known, 1 / odds.sum(1), 0.0)
+        score = np.where(known, 1 / total, 0.0)
         return [self.langs[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), known.tolist(), strict=True)], score.tolist()
 
 
@@ -84,43 +91,60 @@ def _add(frames_key: list[str]):
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """Counts every labelled row; null texts or languages teach nothing. Equal scores go to the smaller name.
 
-    Each partition sends one count vector a language; these are added in groups of partitions first, so no
-    task adds more than about the square root of them. Raises if there are more than MAX_LANGS languages.
+    Partitions send count vectors by language, HELD at a time; these are added in groups of partitions first, so no
+    task adds more than about the square root of them. Any number of languages: the driver gets a row for each.
     """
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         part = 0
+
+        def flush():
+            names = list(sums)
+            blobs = [zlib.compress(sums[x].astype(np.int64).tobytes(), 1) for x in names]
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([part] * len(names), pa.int64()), pa.array([docs[x] for x in names], pa.int64()), pa.array(blobs, pa.binary())], ["lang", "part", "docs", "counts"])
+            sums.clear()
+            docs.clear()
+            return out
+
         for batch in text_slices(batches, "text", 1 << 20):
             part = batch.column("part")[0].as_py()
             langs = batch.column("lang").to_pylist()
             text, bucket, _ = grams(batch.column("text").to_pylist())
             names = sorted(set(langs))
-            index = np.array([names.index(x) for x in langs], np.int64)
-            table = np.bincount(index[text] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
-            for k, name in enumerate(names):
-                sums[name] = sums[name] + table[k] if name in sums else table[k]
-                docs[name] = docs.get(name, 0) + langs.count(name)
-            if len(sums) > MAX_LANGS:
-                raise ValueError(f"more than {MAX_LANGS} languages")
+            number = {x: k for k, x in enumerate(names)}
+            index = np.array([number[x] for x in langs], np.int64)
+            of = index[text]
+            per = np.bincount(index, minlength=len(names))
+            for start in range(0, len(names), HELD):
+                own = names[start : start + HELD]
+                here = (of >= start) & (of < start + HELD) if len(names) > HELD else slice(None)
+                table = np.bincount((of[here] - start) * BUCKETS + bucket[here], minlength=len(own) * BUCKETS).reshape(-1, BUCKETS)
+                for k, name in enumerate(own):
+                    sums[name] = sums[name] + table[k] if name in sums else table[k].copy()
+                    docs[name] = docs.get(name, 0) + int(per[start + k])
+                if len(sums) > HELD:
+                    yield flush()
         if sums:
-            names = list(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([part] * len(names), pa.int64()), pa.array([docs[x] for x in names], pa.int64()), pa.array([zlib.compress(sums[x].astype(np.int64).tobytes(), 1) for x in names], pa.binary())], ["lang", "part", "docs", "counts"])
+            yield flush()
 
     rows = labelled.select(labelled[lang_col].alias("lang"), labelled[text_col].alias("text")).where("lang is not null and text is not null")
     parts = rows.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(count, "lang string, part long, docs long, counts binary")
     salted = parts.withColumn("salt", F.col("part") % 64).drop("part")
     some = salted.groupBy("lang", "salt").applyInPandas(_add(["lang", "salt"]), "lang string, salt long, docs long, counts binary")
     whole = some.groupBy("lang").applyInPandas(_add(["lang"]), "lang string, docs long, counts binary")
-    found = sorted(whole.limit(MAX_LANGS + 1).collect(), key=lambda r: r["lang"])
-    if len(found) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not found:
-        return Model([], np.zeros((0, BUCKETS)), np.zeros(0))
-    counts = np.stack([np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in found]).astype(np.float64) + ALPHA
-    docs = np.array([r["docs"] for r in found], np.float64)
-    return Model([r["lang"] for r in found], np.log(counts / counts.sum(1, keepdims=True)), np.log(docs / docs.sum()))
+    found = sorted(whole.collect(), key=lambda r: r["lang"])
+    model = Model([r["lang"] for r in found], [], np.zeros(len(found)))
+    for r in found:
+        counts = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+        total = counts.sum() + ALPHA * BUCKETS
+        met = np.flatnonzero(counts)
+        model.rows.append((met.astype(np.int32), np.log((counts[met] + ALPHA) / total), float(np.log(ALPHA / total))))
+    if found:
+        docs = np.array([r["docs"] for r in found], np.float64)
+        model.prior = np.log(docs / docs.sum())
+    return model
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
