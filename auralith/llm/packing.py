@@ -284,7 +284,8 @@ def pack(df: DataFrame, tokenizer_file: str, window: int = WINDOW, id_col: str =
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
     schema = ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names)
-    ranked = cut.join(before, ["part", "length"]).select(*[n for n in names if n not in ("sequence_id", "offset")], (F.col("base") + F.col("k")).alias("rank"))
+    # a merge join: the bases are a row for each partition and length, which is too many to broadcast
+    ranked = cut.join(before.hint("merge"), ["part", "length"]).select(*[n for n in names if n not in ("sequence_id", "offset")], (F.col("base") + F.col("k")).alias("rank"))
     return ranked.mapInArrow(place, schema)
 
 
