@@ -5,7 +5,8 @@ elements (names, class, id and role words). Each block is a vector of hashed pat
 text and a few proportions. Two numpy LSTMs read the sequence from both ends, so that every block is judged
 with the whole page around it, and a logistic layer says whether it belongs to the main text. The model is
 trained here, once per driver process, on pages made by html_pages.py; pages of similar length are
-scored together.
+scored together, as many as a bound on their blocks allows, and a page beyond it in windows that hand on their
+states: the backward states of all windows first (HIDDEN numbers a block), then the forward ones.
 """
 
 from __future__ import annotations
@@ -25,23 +26,59 @@ from .common import no_cycles, text_slices
 PATH, LEAF, WORDS, SHARES = 128, 32, 32, 6
 INPUT = PATH + LEAF + WORDS + SHARES
 HIDDEN = 16
-BATCH = 128
+#: Pages scored together, and blocks (padding included) in one array; some 2 KB each.
+BATCH, STEPS = 128, 1 << 15
 
 # fixed values: HTML's block-level, void and raw-text elements
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 VOID = frozenset(["hr"])
-RAW = frozenset("script style template iframe noembed noframes xmp svg math object".split())
+RAW = frozenset("script style iframe noembed noframes template svg".split())
+PARSED = frozenset(["template", "svg"])  # of these, the two that run to the page's end only if they are closed there
 
 TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?)""", re.S)
 NAMED = re.compile(r"""\b(class|id|role|itemprop|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ENDS = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in RAW}
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-@dataclass
+class Element:
+    """An open element: its name and its path's vector, made from its parent's when a block needs it."""
+
+    __slots__ = ("name", "marks", "above", "made")
+
+    def __init__(self, name: str, marks: str, above: Element | None):
+        self.name, self.marks, self.above, self.made = name, marks, above, None
+
+    def vector(self) -> np.ndarray:
+        """Counts of the path's words up to two, then the last element's own; one byte each."""
+        chain, at = [], self
+        while at is not None and at.made is None:
+            chain.append(at)
+            at = at.above
+        for own in reversed(chain):
+            out = np.zeros(PATH + LEAF, np.uint8) if own.above is None else own.above.made.copy()
+            out[PATH:] = 0
+            for word in own.marks.split():
+                path, leaf = _places(word)
+                out[path] = min(2, out[path] + 1)
+                out[leaf] = 1
+            own.made = out
+        return self.made
+
+
+@lru_cache(50_000)
+def _places(word: str) -> tuple[int, int]:
+    return zlib.crc32(word.encode()) % PATH, PATH + zlib.crc32(b"leaf" + word.encode()) % LEAF
+
+
+NO_PATH = np.zeros(PATH + LEAF, np.uint8)
+
+
+@dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]
+    path: Element | None
     text: str
     linked: int  # characters of raw text inside links
 
@@ -58,9 +95,11 @@ def _marks(name: str, attrs: str) -> str:
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks with text in page order, character references decoded and white space made single blanks."""
     found: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[Element] = []
+    names: dict[str, int] = {}  # open elements by name
     parts: list[str] = []
     links = linked = 0
+    unclosed: set[str] = set()
 
     def flush():
         nonlocal linked
@@ -69,9 +108,16 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                found.append(Block(tuple(m for _, m in stack), text, min(linked, len(text))))
+                found.append(Block(stack[-1] if stack else None, text, min(linked, len(text))))
         linked = 0
 
+    def close(name):
+        while True:
+            last = stack.pop().name
+            names[last] -= 1
+            if last == name:
+                return
+
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
@@ -89,23 +135,27 @@ def blocks(page: str) -> list[Block]:
         if name in BLOCKS:
             flush()
             if closing:
-                if any(t == name for t, _ in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                if names.get(name):
+                    close(name)
                 links = 0
             else:
-                if any(t == "p" for t, _ in stack):  # a block ends an open paragraph
-                    while stack.pop()[0] != "p":
-                        pass
-                if name in ("li", "option") and stack and stack[-1][0] == name:
-                    stack.pop()
+                if names.get("p"):  # a block ends an open paragraph
+                    close("p")
+                if name in ("li", "option") and stack and stack[-1].name == name:
+                    close(name)
                 if name not in VOID:
-                    stack.append((name, _marks(name, attrs or "")))
+                    stack.append(Element(name, _marks(name, attrs or ""), stack[-1] if stack else None))
+                    names[name] = names.get(name, 0) + 1
         elif name in RAW:
             if not closing and not (attrs or "").endswith("/"):
-                end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
-                close = page.find(">", end.start()) if end else -1
-                at = close + 1 if close >= 0 else n
+                end = None if name in unclosed else ENDS[name].search(page, at)
+                last = page.find(">", end.start()) if end else -1
+                if last >= 0:
+                    at = last + 1
+                elif name in PARSED:
+                    unclosed.add(name)
+                else:
+                    at = n
         elif name == "a":
             links = max(0, links + (-1 if closing else 1))
         elif name in ("br", "img", "wbr", "input"):
@@ -114,24 +164,13 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-@lru_cache(100_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH + LEAF, np.float32)
-    for element in path:
-        for word in element.split():
-            out[zlib.crc32(word.encode()) % PATH] += 1
-    if path:
-        for word in path[-1].split():
-            out[PATH + zlib.crc32(b"leaf" + word.encode()) % LEAF] = 1
-    np.minimum(out[:PATH], 2, out=out[:PATH])
-    return out
-
-
-def features(found: list[Block]) -> np.ndarray:
-    out = np.zeros((len(found), INPUT), np.float32)
-    for k, b in enumerate(found):
-        row = out[k]
-        row[: PATH + LEAF] = _path_vector(b.path)
+def features(found: list[Block], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Vectors of a page's blocks from start up to stop."""
+    stop = len(found) if stop is None else stop
+    out = np.zeros((stop - start, INPUT), np.float32)
+    for k in range(start, stop):
+        b, row = found[k], out[k - start]
+        row[: PATH + LEAF] = NO_PATH if b.path is None else b.path.vector()
         words = b.text.lower().split()
         row[PATH + LEAF : PATH + LEAF + WORDS] = np.bincount([zlib.crc32(w.encode()) % WORDS for w in words], minlength=WORDS) / len(words)
         size = len(b.text)
@@ -151,10 +190,11 @@ class Lstm:
         self.b = np.zeros(4 * HIDDEN, np.float32)
         self.b[HIDDEN : 2 * HIDDEN] = 1
 
-    def forward(self, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """x (steps, pages, INPUT), mask (steps, pages, 1): states after each step; masked steps leave them as they are."""
+    def forward(self, x: np.ndarray, mask: np.ndarray, keep: list | None = None, state: list | None = None) -> np.ndarray:
+        """x (steps, pages, INPUT), mask (steps, pages, 1): states after each step; masked steps leave them as they are.
+        With state, begins from the two arrays there, if any, and leaves the last ones."""
         steps, pages, _ = x.shape
-        h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
+        h, c = state or [np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)]
         read = (x.reshape(-1, INPUT) @ self.w[:INPUT] + self.b).reshape(steps, pages, -1)
         out = np.empty((steps, pages, HIDDEN), np.float32)
         for t in range(steps):
@@ -169,6 +209,8 @@ class Lstm:
             h = mask[t] * (o * s) + (1 - mask[t]) * h
             c = mask[t] * new + (1 - mask[t]) * c
             out[t] = h
+        if state is not None:
+            state[:] = [h, c]
         return out
 
     def backward(self, x, mask, kept, grad) -> tuple[np.ndarray, np.ndarray]:
@@ -199,18 +241,37 @@ class Labeller:
         kept = kept or (None, None)
         return np.concatenate((self.ahead.forward(x, mask, kept[0]), self.back.forward(x[::-1], mask[::-1], kept[1])[::-1], x), 2)
 
-    def scores(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+    def scores(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """Per page the log odds of each block, pages of similar length together."""
-        order = sorted(range(len(pages)), key=lambda k: len(pages[k]))
-        out: list = [None] * len(pages)
-        for at in range(0, len(order), BATCH):
-            own = order[at : at + BATCH]
-            x, mask = _pad([pages[k] for k in own])
+        order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
+        out: list = [np.zeros(0, np.float32)] * len(pages)
+        while order:
+            if len(pages[order[-1]]) > STEPS:
+                k = order.pop()
+                out[k] = self._in_windows(pages[k])
+                continue
+            # all of a batch are padded to its longest, the last in order
+            own = order[-max(1, min(BATCH, STEPS // len(pages[order[-1]]))) :]
+            order = order[: -len(own)]
+            x, mask = _pad([features(pages[k]) for k in own])
             z = self._states(x, mask) @ self.out + self.bias
             for j, k in enumerate(own):
                 out[k] = z[: len(pages[k]), j]
         return out
 
+    def _in_windows(self, page: list[Block], size: int = STEPS // 8) -> np.ndarray:
+        mask, back, state = np.ones((size, 1, 1), np.float32), np.zeros((len(page), HIDDEN), np.float32), []
+        starts = range(0, len(page), size)
+        for at in reversed(starts):
+            x = features(page, at, min(at + size, len(page)))[:, None]
+            back[at : at + size] = self.back.forward(x[::-1], mask, None, state)[::-1, 0]
+        z, state = np.zeros(len(page), np.float32), []
+        for at in starts:
+            x = features(page, at, min(at + size, len(page)))[:, None]
+            ahead = self.ahead.forward(x, mask, None, state)
+            z[at : at + size] = np.concatenate((ahead[:, 0], back[at : at + size], x[:, 0]), 1) @ self.out + self.bias
+        return z
+
     def train(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 10, rate: float = 0.01) -> float:
         """Adam on the blocks' logistic loss; returns the last epoch's share of right labels."""
         rng = np.random.default_rng(11)
@@ -267,11 +328,7 @@ def trained(pages: int = 1500, epochs: int = 14) -> Labeller:
 
 def extract_texts(pages: list[str | None], model: Labeller) -> list[str]:
     found = [blocks(p or "") for p in pages]
-    some = [k for k, f in enumerate(found) if f]
-    out = [""] * len(pages)
-    for k, z in zip(some, model.scores([features(found[k]) for k in some]), strict=True):
-        out[k] = "\n".join(b.text for b, s in zip(found[k], z, strict=True) if s > 0)
-    return out
+    return ["\n".join(b.text for b, s in zip(f, z, strict=True) if s > 0) for f, z in zip(found, model.scores(found), strict=True)]
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

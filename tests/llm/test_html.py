@@ -18,17 +18,51 @@ def test_blocks():
     page = "<p>a &amp; <b>b</b><br>c<p>d\n  e<div class='Side-Bar x'>f<li>g<li>h</div><script>var t='<p>no</p>';</script><!-- <p>no --><style>p{}</style>i<"
     found = H.blocks(page)
     assert [b.text for b in found] == ["a & b c", "d e", "f", "g", "h", "i<"]
-    assert found[2].path[-1] == "div side bar x" and found[4].path[-1] == "li"
+    assert found[2].path.marks == "div side bar x" and found[4].path.marks == "li"
     assert [b.text for b in H.blocks("<script>open to the end <p>x")] == [] and H.blocks("") == []
     assert [b.linked for b in H.blocks("<p><a href='>'>abc</a> d</p>")] == [3]
 
 
+def test_elements_that_are_left_open():
+    """Only what HTML reads as raw text runs to the end of the page."""
+    for name in ("svg", "object", "math", "template"):
+        assert [b.text for b in H.blocks(f"<p>a<{name}><p>b</p><p>c")] == ["a", "b", "c"]
+    assert [b.text for b in H.blocks("<p>a <math><mi>x</mi></math> b<svg><p>no</p></svg></p><p><xmp>kept</xmp></p><iframe>gone")] == ["a x b", "kept"]
+
+
+def test_path_vectors():
+    """Made step by step from the parent's, they count each path's words, up to two, and the last element's own."""
+    found = H.blocks("<div class='a b'>x<div class='a'>y<div class='a'>z</div></div></div>")
+    for b, path in zip(found, (["div a b"], ["div a b", "div a"], ["div a b", "div a", "div a"])):
+        want = np.zeros(H.PATH + H.LEAF)
+        for word in " ".join(path).split():
+            want[H._places(word)[0]] += 1
+        want = np.minimum(want, 2)
+        for word in path[-1].split():
+            want[H._places(word)[1]] = 1
+        assert (b.path.vector() == want).all()
+
+
+def test_very_long_pages(model):
+    """A page of many blocks, left open to any depth, is scored in windows with the same results as at once."""
+    page = H.blocks("<nav>" + "<li>home" * 40 + "</nav>" + "<div>x" * 3000 + "<p>Some words here, long enough to be read as a text.</p>" * 50)
+    at_once = model.scores([page])[0]
+    assert np.allclose(model._in_windows(page, 100), at_once, atol=1e-4) and np.allclose(model._in_windows(page, 4096), at_once, atol=1e-4)
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    long = "<div>x" * 60_000
+    texts = H.extract_texts([long, *["<article><p>Some words here, long enough to be read.</p></article>"] * 100], model)
+    assert set(texts[1:]) == {"Some words here, long enough to be read."}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
+
+
 def test_held_out_pages(model):
     right = total = 0
     for page, main in made_pages(150, seed=77):
         found = H.blocks(page)
         if found:
-            z = model.scores([H.features(found)])[0]
+            z = model.scores([found])[0]
             right += sum((s > 0) == (b.text in main) for s, b in zip(z, found))
             total += len(found)
     assert right / total > 0.99
