@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from auralith import schemas
 from auralith.functions.exprs import FORMATS, normalize_name, timestamp_text
-from auralith.operators import analyzers, catalog, clustering, dedup, rename, serving, similarity, tagging
+from auralith.operators import analyzers, catalog, clustering, components, dedup, rename, serving, similarity, tagging
 from auralith.sources import scan as scanning
 
 
@@ -78,6 +78,7 @@ class Library:
 
     def scan(self, *roots: str, include_hidden: bool = False, follow_symlinks: bool = False) -> int:
         found = scanning.scan(self.spark, *roots, include_hidden=include_hidden, follow_symlinks=follow_symlinks).withColumn("scanned_at", F.current_timestamp()).withColumn("id", F.lit(None).cast("long"))
+        found = components.keep(found, components.scratch(self.spark, "scan"))  # the roots are walked once
         self.put("samples", catalog.upsert_samples(self.table("samples"), found))
         return found.count()
 
@@ -102,6 +103,7 @@ class Library:
                 raise LookupError(f"sample {sample_id} is not indexed")
         found = analyzers.analyze_files(self._contents(own), mode)
         if not dry_run:
+            found = components.keep(found, components.scratch(self.spark, "analysis"))  # every file is decoded once
             self.put("feature_vectors", catalog.replace_vectors(self.table("feature_vectors"), analyzers.feature_vectors(found)))
         return found
 
@@ -186,7 +188,7 @@ class Library:
             hashed = analyzers.analyze_files(self._contents(samples), which=()).select("id", F.conv("hash", 16, -10).cast("long").alias("bits"))
             plan = dedup.plan_cull(dedup.perceptual_groups(samples.join(hashed, "id").select("id", "path", "bits", "modified_at"), threshold), ["ref_path"], keep)
         if delete and not dry_run:
-            plan = plan.cache()
+            plan = components.keep(plan, components.scratch(self.spark, "cull"))  # it must not be made again from files that are gone
             for r in plan.where("remove").select("path").toLocalIterator():
                 Path(r["path"]).unlink(missing_ok=True)
             left = catalog.delete_sample(self.tables(), plan.where("remove").select(F.col("id").alias("sample_id")))

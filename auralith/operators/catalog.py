@@ -111,7 +111,7 @@ def tag_usage(tags: DataFrame, sample_tags: DataFrame) -> DataFrame:
     """Tags with how many samples carry them, unused ones too. The pairs are counted by tag before they meet the tags."""
     counts = sample_tags.groupBy("tag_id").agg(F.count("sample_id").alias("sample_count"))
     used = tags.join(counts, tags["id"] == counts["tag_id"], "left").drop("tag_id")
-    return used.withColumn("sample_count", F.coalesce("sample_count", F.lit(0)).cast("long")).orderBy(F.desc("sample_count"), "name")
+    return used.withColumn("sample_count", F.coalesce("sample_count", F.lit(0)).cast("long")).orderBy(F.desc("sample_count"), "normalized_name")
 
 
 def tags_of_sample(tags: DataFrame, sample_tags: DataFrame, sample_id: int) -> DataFrame:

@@ -25,6 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if where is None:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        alone = spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+        if not given.isDefined() and not alone:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = given.get() if given.isDefined() else f"file://{_own_folder()}"
     return where.rstrip("/")
 

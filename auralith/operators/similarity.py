@@ -127,8 +127,8 @@ def similar_to(vectors: DataFrame, references: list[int], limit: int = 25, thres
     """(sample_id, ref_id, similarity): for each other sample its best reference by cosine, at least the threshold.
 
     The earlier reference wins a tie; rows are in order of similarity, then sample, then reference. limit 0 is
-    no limit. The references' vectors become constants of the plan, so the candidates are scanned once and
-    nothing is joined or shuffled but the last order.
+    no limit. A few references' vectors become constants of the plan, so the candidates are scanned once and
+    nothing is joined or shuffled but the last order; more than LITERAL_REFERENCES are compared in blocks.
     """
     if limit < 0:
         raise ValueError("limit must not be negative")
@@ -137,16 +137,43 @@ def similar_to(vectors: DataFrame, references: list[int], limit: int = 25, thres
     if order not in ("asc", "desc"):
         raise ValueError("order must be asc or desc")
     references = list(dict.fromkeys(references))
-    if not 0 < len(references) <= LITERAL_REFERENCES:
-        raise ValueError(f"between 1 and {LITERAL_REFERENCES} references")
+    if not references:
+        raise ValueError("at least one reference")
+    if len(references) > LITERAL_REFERENCES:
+        scored = _best_of_many(vectors, references)
+    else:
+        scored = _best_of_few(vectors, references)
+    kept = scored.where(F.col("similarity") >= threshold).orderBy(F.desc("similarity") if order == "desc" else F.asc("similarity"), "sample_id", "ref_id")
+    return kept.limit(limit) if limit else kept
+
+
+def _best_of_few(vectors: DataFrame, references: list[int]) -> DataFrame:
     found = {r["sample_id"]: r["values"] for r in vectors.where(F.col("sample_id").isin(references)).select("sample_id", "values").collect()}
     if missing := [r for r in references if r not in found]:
         raise LookupError(f"no feature vector for {missing}")
     scores = [F.struct(cosine(F.col("values"), F.array(*[F.lit(float(v)) for v in found[r]])).alias("s"), F.lit(-k).alias("turn"), F.lit(r).cast("long").alias("ref")) for k, r in enumerate(references)]
     best = F.array_max(F.array(*scores))
-    scored = vectors.where(~F.col("sample_id").isin(references)).select("sample_id", best.alias("best")).select("sample_id", F.col("best.ref").alias("ref_id"), F.col("best.s").alias("similarity"))
-    kept = scored.where(F.col("similarity") >= threshold).orderBy(F.desc("similarity") if order == "desc" else F.asc("similarity"), "sample_id", "ref_id")
-    return kept.limit(limit) if limit else kept
+    return vectors.where(~F.col("sample_id").isin(references)).select("sample_id", best.alias("best")).select("sample_id", F.col("best.ref").alias("ref_id"), F.col("best.s").alias("similarity"))
+
+
+def _best_of_many(vectors: DataFrame, references: list[int]) -> DataFrame:
+    """The same by blocks of candidates and references; each block sends its candidates' best."""
+    asked = vectors.sparkSession.createDataFrame([(r,) for r in references], "sample_id long")
+    own = vectors.join(asked, "sample_id").select("sample_id", "values")
+    if (known := {r["sample_id"] for r in own.select("sample_id").collect()}) != set(references):  # as many as the arguments
+        raise LookupError(f"no feature vector for {[r for r in references if r not in known]}")
+    turn = {r: k for k, r in enumerate(references)}
+
+    def solve(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        refs = y["sample_id"].to_numpy()
+        turns = np.array([turn[r] for r in refs.tolist()])
+        i, j, s, _ = best_rows(matrix(x["values"]), matrix(y["values"]), np.ones((len(x), len(y)), bool), turns, 1, "cosine")
+        return pd.DataFrame({"sample_id": x["sample_id"].to_numpy()[i], "s": s, "turn": -turns[j], "ref": refs[j]})
+
+    rest = vectors.join(asked, "sample_id", "left_anti").select("sample_id", "values")
+    found = block_join(rest, own, "sample_id", solve, "sample_id long, s double, turn long, ref long")
+    best = found.groupBy("sample_id").agg(F.max(F.struct("s", "turn", "ref")).alias("best"))
+    return best.select("sample_id", F.col("best.ref").alias("ref_id"), F.col("best.s").alias("similarity"))
 
 
 def resolve_references(arguments: list[str], samples: DataFrame) -> DataFrame:

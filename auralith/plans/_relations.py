@@ -110,3 +110,18 @@ def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ARRAYS = SIGNALS + ", arrays AS (SELECT user_id, list(x ORDER BY pos) AS data FROM signals GROUP BY user_id)"
+
+
+#: Users whose values make up one long signal: some 8,600 samples, so that there are several frames.
+USERS = 128
+
+
+def long_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, data): the values of USERS users at a time, one user after another, divided by the largest magnitude."""
+    rows = table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / USERS).cast("long").alias("id"), "user_id", "ts", "event_id", "value")
+    own = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("user_id", "ts", "event_id", "value"))).alias("all"), F.max(F.abs("value")).alias("peak"))
+    return own.select("id", F.transform("all", lambda v: F.coalesce(F.try_divide(v["value"], F.col("peak")), F.lit(0.0))).alias("data"))
+
+
+LONG = f"""long AS (SELECT user_id // {USERS} AS id, row_number() OVER (PARTITION BY user_id // {USERS} ORDER BY user_id, ts, event_id) - 1 AS pos,
+  coalesce(value / nullif(max(abs(value)) OVER (PARTITION BY user_id // {USERS}), 0), 0) AS x FROM events)"""

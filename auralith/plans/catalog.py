@@ -1,6 +1,7 @@
 """The catalog's statements and the browsing queries over them."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from auralith.functions.exprs import timestamp_text
 from auralith.operators import catalog as C
@@ -79,7 +80,8 @@ def remove_tag(spark, sf_dir):
 
 def tag_usage(spark, sf_dir):
     own, tags, pairs = _tables(spark, sf_dir)
-    return C.tag_usage(tags, pairs).select("id", "name", "normalized_name", "sample_count")
+    used = C.tag_usage(tags, pairs).select("id", "name", "normalized_name", "sample_count")
+    return used.withColumn("place", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("place")).cast("long"))
 
 
 def tags_for_sample(spark, sf_dir):
@@ -167,7 +169,7 @@ ORACLE = {
     "ensure_tag_last_wins": f"WITH {R.TAGS} SELECT id, name, normalized_name, source, confidence FROM tags",
     "attach_dedup": f"{_ALL}, a AS (SELECT sample_id, tag_id FROM sample_tags UNION SELECT id, 1 FROM samples) SELECT tag_id, count(*) AS n, sum(sample_id)::bigint AS ids FROM a GROUP BY tag_id",
     "remove_tag": f"{_ALL} SELECT tag_id, count(*) AS n FROM sample_tags WHERE tag_id <> (SELECT id FROM tags WHERE normalized_name = 'lang en') GROUP BY tag_id",
-    "tag_usage": f"{_ALL} SELECT tags.id, name, normalized_name, count(sample_id) AS sample_count FROM tags LEFT JOIN sample_tags ON tag_id = tags.id GROUP BY ALL ORDER BY sample_count DESC, name",
+    "tag_usage": f"{_ALL}, used AS (SELECT tags.id, name, normalized_name, count(sample_id) AS sample_count FROM tags LEFT JOIN sample_tags ON tag_id = tags.id GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY sample_count DESC, normalized_name) AS place FROM used",
     "tags_for_sample": f"{_ALL} SELECT normalized_name, source, confidence FROM sample_tags JOIN tags ON tags.id = tag_id WHERE sample_id = 17 ORDER BY 1",
     "samples_by_tag": f"{_ALL} SELECT {', '.join('samples.' + c for c in LIST)}, modified_at::varchar AS modified_at FROM samples JOIN sample_tags ON sample_id = samples.id JOIN tags ON tags.id = tag_id WHERE normalized_name = 'quality 1' ORDER BY path",
     "samples_with_tags": f"{_TAGGED} SELECT id, path, array_to_string(tags, '|') AS tags FROM tagged",

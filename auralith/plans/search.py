@@ -19,6 +19,12 @@ def similar_ascending_threshold(spark, sf_dir):
     return found.select("sample_id", "ref_id", F.round("similarity", 6).alias("similarity"))
 
 
+def similar_to_many(spark, sf_dir):
+    """More references than become constants of the plan: every fifth vector of the first five hundred."""
+    found = similarity.similar_to(R.vectors(spark, sf_dir), list(range(0, 500, 5)), limit=0, threshold=-1)
+    return found.select("sample_id", "ref_id", F.round("similarity", 6).alias("similarity"))
+
+
 def _pairs(metric):
     def run(spark, sf_dir):
         found = similarity.pairwise_top(R.vectors(spark, sf_dir), 25, metric)
@@ -83,6 +89,7 @@ def perceptual_cull(spark, sf_dir):
 QUERIES = {
     "similar_best_reference": similar_best_reference,
     "similar_ascending_threshold": similar_ascending_threshold,
+    "similar_to_many": similar_to_many,
     "pairwise_cosine_top": _pairs("cosine"),
     "pairwise_euclid_top": _pairs("euclidean"),
     "nearest_neighbors_cosine": _nearest("cosine"),
@@ -127,6 +134,7 @@ def _cull_sql(order):
 ORACLE = {
     "similar_best_reference": _BEST + " ORDER BY s DESC, sample_id, ref_id LIMIT 25",
     "similar_ascending_threshold": _BEST.replace("round(s, 6) AS similarity FROM best WHERE rn = 1", "round(s, 6) AS similarity FROM best WHERE rn = 1 AND s >= 0.1 AND s >= 0"),
+    "similar_to_many": _BEST.replace("sample_id IN (0, 1)", "sample_id < 500 AND sample_id % 5 = 0").replace("a.sample_id NOT IN (0, 1)", "NOT (a.sample_id < 500 AND a.sample_id % 5 = 0)"),
     "pairwise_cosine_top": _pair_sql(_COS, ("s", "1 - s", "DESC")),
     "pairwise_euclid_top": _pair_sql(_EUC, ("1 / (1 + s)", "s", "ASC")),
     "nearest_neighbors_cosine": _near_sql(_COS, ("s", "1 - s", "DESC")),
