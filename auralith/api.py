@@ -112,12 +112,24 @@ class Library:
         suffix = Path(path).suffix.lower().lstrip(".")
         return analyzers.analyze_bytes(Path(path).read_bytes(), FORMATS.get(suffix, "unknown"), suffix)
 
-    def auto_tag(self, rules: list[dict] | None = None, mode: str = "FAILFAST") -> None:
-        """Metadata tags, then rules, written and attached."""
+    def auto_tag(self, rules: list[dict] | None = None, mode: str = "FAILFAST", path: str | None = None, scores: DataFrame | None = None, labels: list[str] | None = None, floor: float = tagging.CLAP_FLOOR, limit: int = tagging.CLAP_LIMIT) -> None:
+        """Metadata tags, then rules, then the best labels, written and attached; of one path or of all samples.
+
+        scores (id, scores array of (label, score)) are what the audio-text encoder gives (functions/clap.py);
+        labels says that they are of given labels, not of the default ones."""
         own = self.table("samples")
+        if path is not None:
+            own = catalog.sample_by_path(own, path)
+            if not own.head(1):
+                raise LookupError(f"{path!r} is not indexed")
         found = analyzers.analyze_files(self._contents(own), mode, ("spectral", "dynamics", "pitch", "key", "harmonics")).drop("hash", "error")
         rows = own.join(found, "id")
-        merged = tagging.merge_tags(tagging.metadata_tags(F.col("attributes")), tagging.rule_tags(rules or []).cast("array<struct<name:string,normalized_name:string,source:string,confidence:double>>"))
+        kind = "array<struct<name:string,normalized_name:string,source:string,confidence:double>>"
+        parts = [tagging.metadata_tags(F.col("attributes")), tagging.rule_tags(rules or []).cast(kind)]
+        if scores is not None:
+            rows = rows.join(scores.select("id", "scores"), "id", "left")
+            parts.append(F.coalesce(tagging.clap_tags(F.col("scores"), labels is None, floor, limit), F.array().cast(kind)))
+        merged = tagging.merge_tags(*parts)
         self._write_tags(rows.select(F.col("id").alias("sample_id"), F.posexplode(merged).alias("k", "t")).select("sample_id", F.struct("sample_id", "k").alias("turn"), "t.*"))
 
     def _write_tags(self, rows: DataFrame) -> None:
@@ -177,16 +189,16 @@ class Library:
         return rows
 
     def dedup(self, exact: bool = False, perceptual: bool = False, threshold: int = dedup.DEFAULT_DISTANCE, keep: str = "first-path", delete: bool = False, dry_run: bool = True) -> DataFrame:
-        """Duplicates with keep_path and remove; with delete and not dry_run the files and rows to remove go."""
+        """Duplicates with keep_path and remove, exact ones by size and hash, near ones by group size; with delete and not dry_run the files and rows to remove go."""
         if exact == perceptual:
             raise ValueError("choose exactly one of exact and perceptual")
         samples = self.table("samples")
         if exact:
             content = self._contents(dedup.size_candidates(samples)).select("id", "content")
-            plan = dedup.plan_cull(dedup.exact_duplicates(samples.join(content, "id")), ["size_bytes", "sha256"], keep)
+            plan = dedup.plan_cull(dedup.exact_duplicates(samples.join(content, "id")), ["size_bytes", "sha256"], keep).orderBy("size_bytes", "sha256", "path")
         else:
             hashed = analyzers.analyze_files(self._contents(samples), which=()).select("id", F.conv("hash", 16, -10).cast("long").alias("bits"))
-            plan = dedup.plan_cull(dedup.perceptual_groups(samples.join(hashed, "id").select("id", "path", "bits", "modified_at"), threshold), ["ref_path"], keep)
+            plan = dedup.plan_cull(dedup.perceptual_groups(samples.join(hashed, "id").select("id", "path", "bits", "modified_at"), threshold), ["ref_path"], keep).orderBy(F.desc("n"), "ref_path", "distance", "path")
         if delete and not dry_run:
             plan = components.keep(plan, components.scratch(self.spark, "cull"))  # it must not be made again from files that are gone
             for r in plan.where("remove").select("path").toLocalIterator():

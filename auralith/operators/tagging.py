@@ -123,6 +123,12 @@ def clap_names(scores: Column, defaults: bool = True, floor: float = CLAP_FLOOR,
     return F.transform(F.slice(named, 1, limit), lambda s: normalize_name(s["label"]))
 
 
+def clap_tags(scores: Column, defaults: bool = True, floor: float = CLAP_FLOOR, limit: int = CLAP_LIMIT) -> Column:
+    """The best labels as tags, each with its score as confidence."""
+    named = F.transform(clap_names(scores, defaults, floor, limit), lambda n: F.struct(n.alias("name"), F.array_max(F.transform(F.filter(scores, lambda s: normalize_name(s["label"]) == n), lambda s: s["score"].cast("double"))).alias("confidence")))
+    return F.transform(named, lambda t: F.struct(t["name"].alias("name"), t["name"].alias("normalized_name"), F.lit("clap").alias("source"), t["confidence"].alias("confidence")))
+
+
 def llm_prompt(path: Column, file_name: Column, tags: Column, attributes: Column, metrics: Column) -> Column:
     """The user message: fixed lines, path, file name, sorted tags, attributes and metrics."""
     head = [F.lit(x) for x in PROMPT_HEAD] + [F.concat(F.lit("path: "), path), F.concat(F.lit("filename: "), file_name)]

@@ -59,7 +59,7 @@ def llm_prompt(spark, sf_dir):
 
 def llm_parse(spark, sf_dir):
     replies = R.table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return replies.select("conv_id", "turn", F.array_join(T.llm_names(F.concat(F.lit('["'), F.substring("text", 1, 60), F.lit("; 'Dark_Pad', loop;")), 8), "|").alias("tags"))
+    return replies.select("conv_id", "turn", F.array_join(T.llm_names(F.concat(F.lit('["'), F.col("text"), F.lit("; 'Dark_Pad', loop;")), 8), "|").alias("tags"))
 
 
 def clap_score_to_tags(spark, sf_dir):
@@ -117,7 +117,7 @@ UNION ALL SELECT user_id, 'quiet', 'rules', 0.7 FROM m WHERE rms >= 0.45 AND con
 s AS (SELECT sample_id, 'label ' || label AS tag, sum(w) / any_value(total) AS score FROM (SELECT *, sum(w) OVER (PARTITION BY sample_id) AS total FROM near) GROUP BY sample_id, label)
 SELECT sample_id, tag, round(score, 6) AS score, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, tag) AS rank FROM s WHERE score >= 0.34""",
     "llm_prompt": f"{_LEVELS} SELECT user_id, array_to_string(['{T.PROMPT_HEAD[0]}', '{T.PROMPT_HEAD[1]}', 'path: /lib/' || user_id, 'filename: ' || user_id || '.wav', 'existing_tags: dark, pad', 'attribute.name: ' || name, 'metric.peak: ' || printf('%.6f', peak), 'metric.rms: ' || printf('%.6f', rms), 'metric.user_id: ' || printf('%.6f', user_id::double)], chr(10)) AS prompt FROM m",
-    "llm_parse": f"""WITH r AS (SELECT conv_id, turn, '"' || substr(text, 1, 60) || '; ''Dark_Pad'', loop;' AS reply FROM conversations WHERE role = 'assistant'),
+    "llm_parse": f"""WITH r AS (SELECT conv_id, turn, '"' || text || '; ''Dark_Pad'', loop;' AS reply FROM conversations WHERE role = 'assistant'),
 n AS (SELECT conv_id, turn, list_transform(string_split_regex(reply, '[,\\n;]'), lambda p: {_NORM.format('''regexp_replace(p, '^["'']+|["'']+$', '', 'g')''')}) AS names FROM r)
 SELECT conv_id, turn, array_to_string({_DISTINCT.format("names")}[1:8], '|') AS tags FROM n""",
     "clap_score_to_tags": f"""WITH l AS (SELECT vec_id, unnest([{", ".join(f"'{x}'" for x in T.DEFAULT_LABELS)}]) AS label, unnest(list_transform(embedding[1:{len(T.DEFAULT_LABELS)}], lambda v: abs(v::double) * 2)) AS score FROM embeddings),

@@ -203,8 +203,120 @@ def _id3_text(frame: str, data: bytes) -> str:
     return rest.decode(kind, "replace").split("\0")[0].strip()
 
 
+# fixed values: Vorbis comment keys and MP4 atoms by the names of the embedded fields
+VORBIS_KEYS = {"TITLE": "title", "ALBUM": "album", "ARTIST": "artist", "ALBUMARTIST": "album_artist", "COMPOSER": "composer", "GENRE": "genre", "COMMENT": "comment", "DESCRIPTION": "comment", "LYRICS": "lyrics", "DATE": "year", "YEAR": "year", "TRACKNUMBER": "track", "TRACKTOTAL": "track_total", "TOTALTRACKS": "track_total", "DISCNUMBER": "disc", "DISCTOTAL": "disc_total", "TOTALDISCS": "disc_total"}
+MP4_ATOMS = {b"\xa9nam": "title", b"\xa9alb": "album", b"\xa9ART": "artist", b"aART": "album_artist", b"\xa9wrt": "composer", b"\xa9gen": "genre", b"\xa9cmt": "comment", b"\xa9lyr": "lyrics", b"\xa9day": "year"}
+
+
+def _put(fields: dict[str, str], field: str, text: str) -> None:
+    """Adds a field that is not blank; numbers only if positive, a year from its first four digits, "3/12" as both."""
+    text = text.strip()
+    if field in ("track", "disc"):
+        number, _, total = text.partition("/")
+        fields |= {n: str(int(v)) for n, v in ((field, number), (f"{field}_total", total)) if v.strip().isdigit() and int(v) > 0}
+    elif field.endswith("_total"):
+        if text.isdigit() and int(text) > 0:
+            fields[field] = str(int(text))
+    elif field == "year":
+        if text[:4].isdigit():
+            fields[field] = str(int(text[:4]))
+    elif text:
+        fields[field] = text
+
+
+def _vorbis(data: bytes) -> tuple[dict[str, str], bool]:
+    """Of a comment block: lengths are little-endian; the first of repeated keys counts."""
+    fields: dict[str, str] = {}
+    taken, picture = set(), False
+    at = 4 + int.from_bytes(data[:4], "little")
+    count = int.from_bytes(data[at : at + 4], "little")
+    at += 4
+    for _ in range(count):
+        if at + 4 > len(data):
+            break
+        size = int.from_bytes(data[at : at + 4], "little")
+        key, _, text = data[at + 4 : at + 4 + size].decode("utf-8", "replace").partition("=")
+        at += 4 + size
+        field = VORBIS_KEYS.get(key.upper())
+        picture |= key.upper() == "METADATA_BLOCK_PICTURE"
+        if field and key.upper() not in taken and (field != "comment" or "comment" not in fields):
+            taken.add(key.upper())
+            _put(fields, field, text)
+    return fields, picture
+
+
+def _flac(body: bytes) -> tuple[dict[str, str], bool]:
+    fields, picture, at, last = {}, False, 4, False
+    while not last and at + 4 <= len(body):
+        kind, size = body[at], int.from_bytes(body[at + 1 : at + 4], "big")
+        last = bool(kind & 0x80)
+        if kind & 0x7F == 4:
+            fields, other = _vorbis(body[at + 4 : at + 4 + size])
+            picture |= other
+        picture |= kind & 0x7F == 6
+        at += 4 + size
+    return fields, picture
+
+
+def _ogg(body: bytes) -> tuple[dict[str, str], bool]:
+    """The second packet of the stream; packets run on over pages as long as their segments are full."""
+    at, packet, packets = 0, b"", 0
+    while at + 27 <= len(body) and body[at : at + 4] == b"OggS":
+        sizes = body[at + 27 : at + 27 + body[at + 26]]
+        at += 27 + len(sizes)
+        for size in sizes:
+            packet += body[at : at + size]
+            at += size
+            if size < 255:
+                packets += 1
+                if packets == 2:
+                    head = 7 if packet[:7] == b"\x03vorbis" else 8 if packet[:8] == b"OpusTags" else 0
+                    return _vorbis(packet[head:]) if head else ({}, False)
+                packet = b""
+    return {}, False
+
+
+def _atoms(data: bytes):
+    at = 0
+    while at + 8 <= len(data):
+        size, name, head = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8], 8
+        if size == 1:
+            size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+        size = size or len(data) - at
+        if size < head:
+            return
+        yield name, data[at + head : at + size]
+        at += size
+
+
+def _mp4(body: bytes) -> tuple[dict[str, str], bool]:
+    """moov / udta / meta / ilst: each atom there holds a data atom, whose value follows a type and a locale."""
+    data = body
+    for step in (b"moov", b"udta", b"meta", b"ilst"):
+        data = next((x for name, x in _atoms(data) if name == step), b"")
+        if step == b"meta":
+            data = data[4:]
+    fields: dict[str, str] = {}
+    picture = False
+    for name, own in _atoms(data):
+        value = next((x[8:] for inner, x in _atoms(own) if inner == b"data"), b"")
+        if name in MP4_ATOMS:
+            _put(fields, MP4_ATOMS[name], value.decode("utf-8", "replace"))
+        elif name in (b"trkn", b"disk") and len(value) >= 6:
+            _put(fields, "track" if name == b"trkn" else "disc", f"{int.from_bytes(value[2:4], 'big')}/{int.from_bytes(value[4:6], 'big')}")
+        picture |= name == b"covr" and bool(value)
+    return fields, picture
+
+
 def embedded(body: bytes) -> tuple[dict[str, str], bool]:
-    """(fields, has picture) of an ID3v2 tag at the file's start or in a chunk of its own; nothing if there is none."""
+    """(fields, has picture) of a file's tags: ID3v2 at its start or in a chunk, Vorbis comments of FLAC and Ogg, MP4
+    atoms; nothing if there are none."""
+    if body[:4] == b"fLaC":
+        return _flac(body)
+    if body[:4] == b"OggS":
+        return _ogg(body)
+    if body[4:8] == b"ftyp":
+        return _mp4(body)
     at = body.find(b"ID3") if body[:3] == b"ID3" else -1
     if at < 0 and body[:4] in (b"RIFF", b"FORM"):
         for name, data in _chunks(body, body[:4] == b"RIFF"):
@@ -224,12 +336,5 @@ def embedded(body: bytes) -> tuple[dict[str, str], bool]:
         field = ID3_FRAMES.get(frame)
         if not field or not data or not (text := _id3_text(frame, data)):
             continue
-        if field in ("track", "disc"):
-            number, _, total = text.partition("/")
-            fields |= {n: str(int(v)) for n, v in ((field, number), (f"{field}_total", total)) if v.strip().isdigit() and int(v) > 0}
-        elif field == "year":
-            if text[:4].isdigit():
-                fields[field] = str(int(text[:4]))
-        else:
-            fields[field] = text
+        _put(fields, field, text)
     return fields, picture
