@@ -1,11 +1,10 @@
-"""Repeated passages by sparse suffix arrays.
-
-Only suffixes at content-selected places are retained: in every window of the least passage length, the
-place of its smallest 10-word hash (its minimiser), so two copies of a passage retain the same places.
-The retained suffixes are sorted by their opening words in cells and compared with their neighbours;
-those that stand alone (nearly all) are done. The others are extended to the left and the right: every
-least-length window over a shared place is hashed, the windows are sorted, and neighbours that agree are
-copies. Windows in a row with the same first holder make up one passage, extended as far as they go.
+"""Repeated passages by minimiser anchors and hashed windows (in place of a sparse suffix array; see the README).
+
+In every window of the least passage length, the place of its smallest 10-word hash (its minimiser) is retained, so
+two copies of a passage retain the same places. Places whose opening occurs once (nearly all) are dropped by a key
+exchange. Every least-length window over a place that is left is hashed, to its left and its right; a second exchange
+tells each window's first holder. Windows in a row with the same first holder make up one passage, as long as it goes.
+Words and windows are told apart by 64-bit hashes; no suffix is sorted.
 """
 
 from __future__ import annotations
