@@ -28,6 +28,8 @@ NOWHERE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Sorted suffixes that are compared at a time.
 PIECE = 32_768
 ROWS = "cell long, chunk long, data binary"
+#: Input bytes that a range of sorted suffixes should stand for: pieces bound the memory, so ranges may be wide and few.
+SORTED_BYTES = 32 << 20
 #: A retained suffix's words, those before it (nearest first), its earliest place and how often its block holds it;
 #: or a block's own places (data).
 SUFFIXES = "chunk long, item long, right binary, left binary, doc_id long, place long, n int, data binary"
@@ -181,7 +183,7 @@ def passages(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text
     are one document's (each is listed); rows with a null id are compared by no one. An empty table gives none.
     """
     tables = Tables(df.sparkSession, "suffix")
-    bits, parts = cell_bits(df), cells_for(df)
+    bits, parts = cell_bits(df), cells_for(df, SORTED_BYTES)
     made = tables.keep(blocks(df.where(F.col(id_col).isNotNull()), F.lit(0), F.lit(0), id_col, text_col), "blocks")
 
     def openings(batches):
@@ -225,7 +227,9 @@ def passages(df: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text
 
     retained = tables.keep(made.select("chunk", "data").groupBy("chunk").cogroup(often.groupBy("chunk")).applyInPandas(retain, SUFFIXES), "retained")
     tables.drop_but("retained")
-    suffixes = retained.where("data is null").drop("data").repartitionByRange(parts, "right", "left").sortWithinPartitions("right", "left")
+    # A passage of many copies has equal words after a place and others before it: their hash parts it among ranges.
+    by = ("right", F.xxhash64("left"))
+    suffixes = retained.where("data is null").drop("data").repartitionByRange(parts, *by).sortWithinPartitions(*by)
 
     def neighbours(batches):
         part, k, waiting, rows = TaskContext.get().partitionId(), 0, [], 0

@@ -56,6 +56,24 @@ def test_crossing_passages(make, least):
     assert got(make(rows), least) == brute(rows, least)
 
 
+def test_matches_across_pieces(make, monkeypatch):
+    """One passage in every document, between words of their own, and its parts alone: sorted in pieces of three."""
+    monkeypatch.setattr(suffix, "PIECE", 3)
+    rng = np.random.default_rng(5)
+    pool = [f"w{k}" for k in range(70)]
+    rows = []
+    for i in range(40):
+        a, b = (0, 70) if i % 3 else sorted(rng.choice(71, 2, replace=False).tolist())
+        rows.append((100 - i, " ".join([f"u{i}x{k}" for k in range(i % 5)] + pool[a:b] + [f"v{i % 7}"] * 3)))
+    assert got(make(rows), 20) == brute(rows, 20)
+
+
+def test_common_parts():
+    rows = np.array([[1, 2, 3], [1, 2, 4], [1, 2, 4], [5, 2, 4]])
+    assert suffix.common_parts(rows).tolist() == [2, 3, 0]
+    assert suffix.common_parts(rows[:1]).tolist() == [] and suffix.common_parts(rows[:, :0]).tolist() == [0, 0, 0]
+
+
 def test_odd_rows(make):
     unique = [r for r in ODD if r[0] != 5]
     assert got(make(unique), 50) == brute(unique, 50)
