@@ -5,10 +5,12 @@ Verbs that change files only say what they would do unless dry_run is False.
 
 from __future__ import annotations
 
+import csv
 import os
 import uuid
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,22 +210,56 @@ class Library:
                 self.put(name, left[name])
         return plan
 
+    def _targets(self, samples: DataFrame, template: str) -> DataFrame:
+        """(id, path, source_root, target) of samples; attributes and metadata, which the catalog does not keep, are empty."""
+        named = self.table("sample_tags").join(self.table("tags").select(F.col("id").alias("tag_id"), "source", F.col("normalized_name").alias("name")), "tag_id")
+        sources = named.groupBy("sample_id").agg(F.collect_set(F.struct("source", "name")).alias("tag_rows"))
+        own = catalog.samples_with_tags(samples, self.table("tags"), self.table("sample_tags")).join(sources.withColumnRenamed("sample_id", "id"), "id", "left")
+        none, no_tags = F.create_map().cast("map<string,string>"), F.array().cast("array<struct<source:string,name:string>>")
+        given = own.withColumns({"attributes": none, "metadata": none, "tag_rows": F.coalesce("tag_rows", no_tags)})
+        return given.select("id", "path", "source_root", rename.rename_target(rename.render(template), F.col("source_root"), F.col("extension")).alias("target"))
+
     def rename(self, path: str, template: str, dry_run: bool = True) -> str:
         """The sample's new path; with dry_run False the file is moved and its row follows."""
-        own = catalog.samples_with_tags(catalog.sample_by_path(self.table("samples"), path), self.table("tags"), self.table("sample_tags"))
-        none = F.create_map().cast("map<string,string>")
-        rendered = own.withColumns({"attributes": none, "metadata": none}).select("id", "source_root", rename.rename_target(rename.render(template), F.col("source_root"), F.col("extension")).alias("target"))
-        row = rendered.first()
+        row = self._targets(catalog.sample_by_path(self.table("samples"), path), template).first()
         if row is None:
             raise LookupError(f"{path!r} is not indexed")
         if not dry_run:
-            os.makedirs(os.path.dirname(row["target"]), exist_ok=True)
-            os.replace(path, row["target"])
-            stat = os.stat(row["target"])
-            move = self.spark.createDataFrame([(row["id"], row["target"], os.path.relpath(row["target"], row["source_root"]), os.path.basename(row["target"]), stat.st_size)], "id long, path string, relative_path string, file_name string, size_bytes long")
-            self.put("samples", catalog.update_locations(self.table("samples"), move))
+            self._move(self._targets(catalog.sample_by_path(self.table("samples"), path), template))
         return row["target"]
 
+    def rename_all(self, template: str, dry_run: bool = True) -> DataFrame:
+        """(path, target) of all samples by path; with dry_run False the files are moved and their rows follow.
+
+        Nothing is moved if two samples would get one path, or one the path of another."""
+        plan = components.keep(self._targets(self.table("samples"), template), components.scratch(self.spark, "rename"))
+        if not dry_run:
+            self._move(plan)
+        return plan.select("path", "target").orderBy("path")
+
+    def _move(self, plan: DataFrame) -> None:
+        """Moves files where the tasks run. A move that a lost task had done already is not done again."""
+        samples = self.table("samples")
+        taken = plan.groupBy("target").count().where("count > 1").select("target")
+        held = plan.where("path <> target").join(samples.select(F.col("path").alias("target")), "target", "left_semi").select("target")
+        if clash := taken.unionByName(held).orderBy("target").first():
+            raise ValueError(f"more than one sample for {clash['target']!r}")
+        plan = components.keep(plan.where("path <> target"), components.scratch(self.spark, "moves"))
+
+        def move(batches):
+            for pdf in batches:
+                found = []
+                for old, new, root in zip(pdf["path"], pdf["target"], pdf["source_root"], strict=True):
+                    if os.path.exists(old) or not os.path.exists(new):
+                        os.makedirs(os.path.dirname(new), exist_ok=True)
+                        os.replace(old, new)
+                    stat = os.stat(new)
+                    found.append((new, os.path.relpath(new, root), os.path.basename(new), stat.st_size, stat.st_mtime))
+                yield pd.DataFrame(found, columns=["path", "relative_path", "file_name", "size_bytes", "modified"]).assign(id=pdf["id"].to_numpy())
+
+        moved = components.keep(plan.mapInPandas(move, "id long, path string, relative_path string, file_name string, size_bytes long, modified double"), components.scratch(self.spark, "moved"))
+        self.put("samples", catalog.update_locations(samples, moved.withColumn("modified_at", F.timestamp_micros((F.col("modified") * 1e6).cast("long"))).drop("modified")))
+
     def convert(self, path: str, output: str = "", form: str = "", **options) -> str:
         """Writes the converted file and returns its path: output, or the source's with the format's extension."""
         target, form = convert_target(path, output, form)
@@ -231,18 +267,37 @@ class Library:
         Path(target).write_bytes(bytes(analyzers.convert_files(files, form, **options).first()["content"]))
         return target
 
-    def export(self, output: str, form: str = "json") -> None:
-        """All samples by path as a folder of JSON lines or CSV files."""
+    def export(self, output: str, form: str = "json", one_file: bool = False) -> None:
+        """All samples by path as a folder of JSON lines or CSV files, or with one_file as one JSON array or one CSV file,
+        which the driver writes row by row."""
         own = catalog.list_samples(self.table("samples"))
         times = {c: timestamp_text(F.col(c)).alias(c) for c in ("modified_at", "scanned_at")}
         text = own.select(*[times.get(c, F.col(c)) for c in own.columns])
-        if form == "csv":
-            text.write.option("header", True).csv(output)
-        elif form == "json":
+        if form == "json":
             named = {"id": "ID", "size_bytes": "SizeBytes"}
-            text.select(*[F.col(c).alias(named.get(c, "".join(w.capitalize() for w in c.split("_")))) for c in own.columns]).write.json(output)
-        else:
+            text = text.select(*[F.col(c).alias(named.get(c, "".join(w.capitalize() for w in c.split("_")))) for c in own.columns])
+        elif form != "csv":
             raise ValueError(f"unsupported export format {form!r}")
+        if one_file:
+            self._export_file(text, output, form)
+        elif form == "csv":
+            text.write.option("header", True).csv(output)
+        else:
+            text.write.json(output)
+
+    def _export_file(self, rows: DataFrame, output: str, form: str) -> None:
+        with open(output, "w", encoding="utf-8", newline="") as f:
+            if form == "csv":
+                out = csv.writer(f, lineterminator="\n")
+                out.writerow(rows.columns)
+                for row in rows.toLocalIterator():
+                    out.writerow(["" if v is None else v for v in row])
+                return
+            f.write("[")
+            for k, row in enumerate(rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json")).toLocalIterator()):
+                f.write(",\n" if k else "\n")
+                f.write(row["json"])
+            f.write("\n]\n")
 
     def browse(self, query: str = "", tags: tuple[str, ...] = (), limit: int = 25) -> DataFrame:
         return catalog.browse(serving.samples(self.tables()), query, list(tags), limit)
