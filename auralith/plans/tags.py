@@ -79,6 +79,11 @@ def rename_template(spark, sf_dir):
     return own.select("id", "text", N.rename_target(F.col("text"), F.col("source_root"), F.col("extension")).alias("target"))
 
 
+def rename_branches(spark, sf_dir):
+    rendered = N.render('{{range $i, $t := .Tags}}{{if $i}}-{{end}}{{$t}}{{else}}bare{{end}}/{{printf "%06d" .ID}}{{if gt .SizeBytes 500}}_long{{else if eq .Format "wav" "aiff"}}_short{{end}}')
+    return _tagged(spark, sf_dir).select("id", rendered.alias("text"))
+
+
 def organize_by_tags(spark, sf_dir):
     return _tagged(spark, sf_dir).select("id", N.by_tags("/library/./x/..", F.col("file_name"), F.col("tags"), 2).alias("target"))
 
@@ -93,7 +98,7 @@ def merge_tags(spark, sf_dir):
     return own.select("doc_id", F.array_join(F.transform(T.merge_tags(F.col("m"), F.col("p")), lambda t: F.concat_ws(":", t["normalized_name"], t["source"])), "|").alias("tags"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_tag, slugify, path_tags, metadata_tags, rule_tags, knn_tags, llm_prompt, llm_parse, clap_score_to_tags, rename_template, organize_by_tags, organize_by_cluster, merge_tags)}
+QUERIES = {f.__name__: f for f in (normalize_tag, slugify, path_tags, metadata_tags, rule_tags, knn_tags, llm_prompt, llm_parse, clap_score_to_tags, rename_template, rename_branches, organize_by_tags, organize_by_cluster, merge_tags)}
 
 _NORM = "trim(regexp_replace(lower({}), '[_\\-\\s]+', ' ', 'g'))"
 _STOP = ", ".join(f"'{w}'" for w in T.PATH_STOP_WORDS)
@@ -124,6 +129,7 @@ SELECT conv_id, turn, array_to_string({_DISTINCT.format("names")}[1:8], '|') AS
 r AS (SELECT *, max(score) OVER (PARTITION BY vec_id) AS top, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rn FROM l)
 SELECT e.vec_id, coalesce(string_agg(r.label, '|' ORDER BY rn), '') AS tags FROM embeddings e LEFT JOIN r ON r.vec_id = e.vec_id AND rn <= 3 AND score >= greatest(0.32::double, top - 0.05::double) GROUP BY e.vec_id""",
     "rename_template": f"{_TAGGED} SELECT id, id || '_' || array_to_string(tags, '_') || '/' || upper(format) || ' x-' || id AS text, '/lib/' || id || '_' || array_to_string(tags, '_') || '/' || upper(format) || ' x-' || id || '.' || extension AS target FROM tagged",
+    "rename_branches": f"{_TAGGED} SELECT id, CASE WHEN len(tags) = 0 THEN 'bare' ELSE array_to_string(tags, '-') END || '/' || printf('%06d', id) || CASE WHEN size_bytes > 500 THEN '_long' WHEN format IN ('wav', 'aiff') THEN '_short' ELSE '' END AS text FROM tagged",
     "organize_by_tags": f"{_TAGGED} SELECT id, '/library/' || array_to_string(list_append(list_sort(list_transform(tags, lambda t: replace(t, ' ', '-')))[1:2], file_name), '/') AS target FROM tagged",
     "organize_by_cluster": "SELECT vec_id, '/clusters/' || CASE WHEN label > 0 THEN 'cluster-' || label ELSE 'unclustered' END || '/' || vec_id || '.wav' AS target FROM embeddings",
     "merge_tags": "SELECT doc_id, lang || ':metadata|' || source || ':metadata' AS tags FROM documents",
