@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auralith.functions.exprs import hamming
+from auralith.operators.blocks import block_join
 from auralith.operators.components import components, keep, scratch
 
 DEFAULT_DISTANCE = 8
@@ -42,28 +46,72 @@ def plan_cull(grouped: DataFrame, group: list[str], strategy: str = "first-path"
     return grouped.join(keepers, group).withColumn("remove", F.col("path") != F.col("keep_path"))
 
 
-def _bands(distance: int) -> int:
-    return distance + 1
+#: Share of all pairs that bands may propose of evenly spread hashes; beyond it every pair of blocks is compared.
+BAND_SHARE = 1 / 16
+
+
+def _masks(distance: int) -> list[int]:
+    """Two of distance + 2 bands of the 64 bits: hashes at most `distance` bits apart agree on one of these at least."""
+    n = distance + 2
+    cuts = [min(64, 64 * k // n) for k in range(n + 1)]
+    bands = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [a | b for a, b in combinations(bands, 2)]
+
+
+def _in_bands(distance: int) -> bool:
+    return sum(2.0 ** -m.bit_count() for m in _masks(distance)) <= BAND_SHARE
+
+
+def _banded(one: DataFrame, distance: int) -> DataFrame:
+    """(p, q) with p < q of distinct hashes (bits), by an equi-join on bands. The join is named: Spark takes the rows
+    of an explode to be as small as what they come from and would send them through the driver."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = F.array(*[F.struct(F.lit(k).alias("c"), F.col("bits").bitwiseAND(F.lit(signed(m)).cast("long")).alias("key")) for k, m in enumerate(_masks(distance))])
+    rows = one.select("bits", F.explode(keys).alias("k")).select("bits", "k.c", "k.key")
+    near = rows.alias("x").join(rows.alias("y").hint("merge"), (F.col("x.c") == F.col("y.c")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.bits") < F.col("y.bits")))
+    return near.select(F.col("x.bits").alias("p"), F.col("y.bits").alias("q")).where(hamming(F.col("p"), F.col("q")) <= distance).distinct()
+
+
+def _blocks(x: pd.DataFrame, y: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The hashes of two blocks in order, and whether they are one block."""
+    x, y = (np.sort(k["bits"].to_numpy()) for k in (x, y))
+    return x, y, np.array_equal(x, y)
+
+
+def _hits(x: np.ndarray, y: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in x, in y) of hashes at most `distance` bits apart, in portions."""
+    x, y = x.view(np.uint64), y.view(np.uint64)
+    for start in range(0, len(x), 128):
+        a, b = np.nonzero(np.bitwise_count(x[start : start + 128, None] ^ y[None, :]) <= distance)
+        yield a + start, b
+
+
+def _blocked(one: DataFrame, distance: int) -> DataFrame:
+    """(p, q) with p < q of distinct hashes (bits), by comparing all blocks."""
+
+    def solve(x, y):
+        x, y, same = _blocks(x, y)
+        a, b = np.concatenate([np.stack(k) for k in _hits(x, y, distance)], axis=1)
+        once = a < b if same else slice(None)
+        p, q = x[a[once]], y[b[once]]
+        return pd.DataFrame({"p": np.minimum(p, q), "q": np.maximum(p, q)})
+
+    return block_join(one, one, "bits", solve, "p long, q long", symmetric=True)
 
 
 def hamming_pairs(hashes: DataFrame, distance: int, id_col: str = "path") -> DataFrame:
     """(a, b, distance) with a < b of hashes (id, bits) at most `distance` bits apart.
 
-    By the pigeonhole two such hashes agree on one of distance + 1 bands, which is an equi-join; where bands would be
-    under four bits wide, on two of distance + 2. Equal hashes are one class until the pairs are made.
+    By the pigeonhole two such hashes agree on two of distance + 2 bands, which is an equi-join; where the bands are so
+    narrow that this saves little, blocks of hashes are compared. Equal hashes are one class until the pairs are made.
     """
-    n = distance + 2
-    cuts = [64 * k // n for k in range(n + 1)]
-    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = F.array(*[F.struct(F.lit(k).alias("c"), F.col("bits").bitwiseAND(F.lit(signed(a | b)).cast("long")).alias("key")) for k, (a, b) in enumerate(combinations(masks, 2))])
-    one = hashes.select("bits").distinct()
-    rows = one.select("bits", F.explode(keys).alias("k")).select("bits", "k.c", "k.key")
-    near = rows.alias("x").join(rows.alias("y"), (F.col("x.c") == F.col("y.c")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.bits") < F.col("y.bits"))).select(F.col("x.bits").alias("p"), F.col("y.bits").alias("q")).where(hamming(F.col("p"), F.col("q")) <= distance).distinct()
+    hashes = keep(hashes.select(id_col, "bits").where("bits is not null"), scratch(hashes.sparkSession, "hashes"))
+    one = keep(hashes.select("bits").distinct(), scratch(hashes.sparkSession, "classes"))
+    near = _banded(one, distance) if _in_bands(distance) else _blocked(one, distance)
     near = near.unionByName(one.select(F.col("bits").alias("p"), F.col("bits").alias("q")))
-    left = near.join(hashes.select(F.col("bits").alias("p"), F.col(id_col).alias("i")), "p")
-    both = left.join(hashes.select(F.col("bits").alias("q"), F.col(id_col).alias("j")), "q")
-    return both.where((F.col("p") != F.col("q")) | (F.col("i") < F.col("j"))).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), hamming(F.col("p"), F.col("q")).alias("distance"))
+    left = near.join(hashes.select(F.col("bits").alias("p"), F.col(id_col).alias("i")).hint("merge"), "p")
+    both = left.join(hashes.select(F.col("bits").alias("q"), F.col(id_col).alias("j")).hint("merge"), "q")
+    return both.where((F.col("i") < F.col("j")) | (F.col("p") != F.col("q")) & (F.col("i") > F.col("j"))).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), hamming(F.col("p"), F.col("q")).alias("distance"))
 
 
 def _hash_links(hashes: DataFrame, distance: int) -> DataFrame:

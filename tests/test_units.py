@@ -1,5 +1,7 @@
 """Small inputs with known results."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -215,3 +217,22 @@ def test_numbered_ranges(spark):
     rows = spark.range(n).select(F.format_string("%08d", F.pmod(F.col("id") * 7919, F.lit(n))).alias("path"), F.sha2(F.col("id").cast("string"), 256).alias("other"))
     got = catalog.numbered(rows, "id", ["path"], 5).toPandas()
     assert len(got) == n and (got["id"] == got["path"].astype(int) + 6).all()
+
+
+@pytest.mark.parametrize("distance", [3, 16])
+def test_hashes_against_all_pairs(spark, distance):
+    """More hashes than a block holds, with copies, nulls and negative ones."""
+    rng = np.random.default_rng(5)
+    bits = rng.integers(-(1 << 63), 1 << 63, 5000) & rng.integers(-(1 << 63), 1 << 63, 5000)  # two bits of three are clear
+    bits[2500:4000] = bits[:1500] ^ (np.int64(1) << rng.integers(0, 63, 1500))
+    bits[4000:] = bits[:1000]
+    paths = [f"{k:05d}" for k in range(5000)]
+    hashes = spark.createDataFrame(pd.DataFrame({"path": paths, "bits": bits})).unionByName(spark.createDataFrame([("x", None), ("y", None)], "path string, bits long"))
+    a, b = np.triu_indices(5000, 1)
+    apart = np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64))
+    near = apart <= distance
+    want = set(zip(a[near].tolist(), b[near].tolist(), apart[near].tolist(), strict=True))
+    found = dedup.hamming_pairs(hashes, distance)
+    got = [(int(r["a"]), int(r["b"]), r["distance"]) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 0
