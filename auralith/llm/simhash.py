@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auralith.operators.blocks import join_sets
+
 from .common import Tables, connected_components, text_slices
 
 #: A bucket of more fingerprints is divided further.
@@ -85,27 +87,6 @@ def _keys(fp: Column, masks: list[int]) -> Column:
     return F.array(*[F.struct(F.lit(k).cast("long").alias("c"), fp.bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for k, m in enumerate(masks)])
 
 
-def join_sets(parent: np.ndarray, a: np.ndarray, b: np.ndarray, used: list | None = None) -> np.ndarray:
-    """Union of the sets of a[i] and b[i]; parent[x] is the smallest member of x's set, before and after.
-    With used, the pairs that joined two sets are appended there."""
-    while len(a):
-        ra, rb = parent[a], parent[b]
-        apart = ra != rb
-        if not apart.any():
-            break
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        high, first = np.unique(np.maximum(ra, rb), return_index=True)
-        if used is not None:
-            used.append((a[first], b[first]))
-        parent[high] = np.minimum(ra, rb)[first]
-        while True:
-            above = parent[parent]
-            if np.array_equal(above, parent):
-                break
-            parent = above
-    return parent
-
-
 def near_hits(fps: np.ndarray, sizes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of fingerprints (in consecutive groups of the sizes) within the radius, each once, in portions."""
     n, words = len(fps), -(-sizes // 64)

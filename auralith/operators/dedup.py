@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from auralith.functions.exprs import hamming
-from auralith.operators.blocks import block_join
+from auralith.operators.blocks import block_join, join_sets
 from auralith.operators.components import components, keep, scratch
 
 DEFAULT_DISTANCE = 8
+#: Hashes to a block where a pair of blocks returns links: few blocks, few links.
+LINK_ROWS = 4096
 STRATEGIES = ("first-path", "oldest", "newest")
 
 
@@ -99,6 +101,23 @@ def _blocked(one: DataFrame, distance: int) -> DataFrame:
     return block_join(one, one, "bits", solve, "p long, q long", symmetric=True)
 
 
+def _hash_links(one: DataFrame, distance: int) -> DataFrame:
+    """(src, dst) of distinct hashes (bits): links enough that components are those of all links."""
+    if _in_bands(distance):
+        return _banded(one, distance).toDF("src", "dst")
+
+    def solve(x, y):
+        x, y, same = _blocks(x, y)
+        both = x if same else np.concatenate((x, y))
+        parent = np.arange(len(both))
+        for a, b in _hits(x, y, distance):
+            parent = join_sets(parent, a, b if same else b + len(x))
+        some = np.flatnonzero(parent != np.arange(len(both)))
+        return pd.DataFrame({"src": both[some], "dst": both[parent[some]]})
+
+    return block_join(one, one, "bits", solve, "src long, dst long", symmetric=True, rows=LINK_ROWS)
+
+
 def hamming_pairs(hashes: DataFrame, distance: int, id_col: str = "path") -> DataFrame:
     """(a, b, distance) with a < b of hashes (id, bits) at most `distance` bits apart.
 
@@ -114,23 +133,13 @@ def hamming_pairs(hashes: DataFrame, distance: int, id_col: str = "path") -> Dat
     return both.where((F.col("i") < F.col("j")) | (F.col("p") != F.col("q")) & (F.col("i") > F.col("j"))).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), hamming(F.col("p"), F.col("q")).alias("distance"))
 
 
-def _hash_links(hashes: DataFrame, distance: int) -> DataFrame:
-    n = distance + 2
-    cuts = [64 * k // n for k in range(n + 1)]
-    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = F.array(*[F.struct(F.lit(k).alias("c"), F.col("bits").bitwiseAND(F.lit(signed(a | b)).cast("long")).alias("key")) for k, (a, b) in enumerate(combinations(masks, 2))])
-    rows = hashes.select("bits").distinct().select("bits", F.explode(keys).alias("k")).select("bits", "k.c", "k.key")
-    near = rows.alias("x").join(rows.alias("y"), (F.col("x.c") == F.col("y.c")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.bits") < F.col("y.bits")))
-    return near.select(F.col("x.bits").alias("src"), F.col("y.bits").alias("dst")).where(hamming(F.col("src"), F.col("dst")) <= distance).distinct()
-
-
 def perceptual_groups(hashes: DataFrame, distance: int = DEFAULT_DISTANCE) -> DataFrame:
     """(path, bits, ref_path, ref_bits, distance, similarity, n): members of groups of two and more under the transitive
     closure of "at most `distance` bits apart" (0 or less: the default), each with the group's smallest path and its
     distance to that one. Closure works on distinct hashes; equal ones join by their hash."""
     distance = distance if distance > 0 else DEFAULT_DISTANCE
-    parts = components(_hash_links(hashes, distance))
+    one = keep(hashes.select("bits").where("bits is not null").distinct(), scratch(hashes.sparkSession, "classes"))
+    parts = components(_hash_links(one, distance))
     member = hashes.join(parts, hashes["bits"] == parts["node"], "left").select(*[hashes[c] for c in hashes.columns], F.coalesce("component", "bits").alias("part"))
     member = keep(member, scratch(hashes.sparkSession, "perceptual"))
     groups = member.groupBy("part").agg(F.min(F.struct("path", "bits")).alias("ref"), F.count("*").alias("n")).where("n > 1")

@@ -10,6 +10,7 @@ from auralith.functions import exprs as E
 from auralith.functions import signals as S
 from auralith.functions.rules import RuleError, compile_rule
 from auralith.operators import catalog, clustering, dedup, rename, similarity, tagging
+from auralith.operators.blocks import join_sets
 from auralith.operators.components import components
 
 
@@ -236,3 +237,7 @@ def test_hashes_against_all_pairs(spark, distance):
     got = [(int(r["a"]), int(r["b"]), r["distance"]) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
     assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 0
+    parent = join_sets(np.arange(5000), a[near], b[near])
+    groups = {int(r["path"]): int(r["ref_path"]) for r in dedup.perceptual_groups(hashes, distance).collect()}
+    many = np.bincount(parent, minlength=5000)[parent] > 1
+    assert groups == {k: int(parent[k]) for k in np.flatnonzero(many).tolist()}
