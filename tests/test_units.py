@@ -241,3 +241,20 @@ def test_hashes_against_all_pairs(spark, distance):
     groups = {int(r["path"]): int(r["ref_path"]) for r in dedup.perceptual_groups(hashes, distance).collect()}
     many = np.bincount(parent, minlength=5000)[parent] > 1
     assert groups == {k: int(parent[k]) for k in np.flatnonzero(many).tolist()}
+
+
+def test_perceptual_cull_of_many_blocks(spark):
+    """A chain of hashes 16 bits apart over several blocks, hashes that stay alone, and no join through the driver."""
+    rng = np.random.default_rng(6)
+    bits = np.concatenate(([0, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFFFFFF, -1], rng.integers(0, 4096, 5000) * 0x1001001001001 & 0x7FFFFFFFFFFFFFFF)).astype(np.int64)
+    hashes = spark.createDataFrame(pd.DataFrame({"path": [f"{k:05d}" for k in range(len(bits))], "bits": bits}))
+    links = dedup._hash_links(hashes.select("bits").distinct(), 16)
+    assert "BroadcastHashJoin" not in links._jdf.queryExecution().executedPlan().toString()
+    one = np.unique(bits)
+    near = np.argwhere(np.bitwise_count(one.view(np.uint64)[:, None] ^ one.view(np.uint64)) <= 16)
+    parent = join_sets(np.arange(len(one)), *near.T)
+    own = parent[np.searchsorted(one, bits)]
+    first = {g: int(np.flatnonzero(own == g)[0]) for g in np.unique(own).tolist()}
+    many = np.bincount(own, minlength=len(one))[own] > 1
+    got = {int(r["path"]): (int(r["keep_path"]), r["remove"]) for r in dedup.plan_cull(dedup.perceptual_groups(hashes, 16), ["ref_path"]).collect()}
+    assert got == {k: (first[own[k]], first[own[k]] != k) for k in np.flatnonzero(many).tolist()}
