@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squares(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
 
@@ -122,7 +129,13 @@ def pitch(a: Column, rate: int, low_hz: float = 50, high_hz: float = 2000) -> Co
     least = max(1, int(rate / high_hz))
     most = F.least(F.lit(int(rate / low_hz)), F.size(a) - 1)
     scores = F.transform(F.sequence(F.lit(least), F.greatest(most, F.lit(least))), lambda lag: F.struct(correlation_at(a, lag).alias("s"), lag.alias("lag")))
-    best = F.array_max(F.transform(scores, lambda x: F.struct(x["s"].alias("s"), (-x["lag"]).alias("turn"))))
+    turned = lambda scores: F.array_max(F.transform(scores, lambda x: F.struct(x["s"].alias("s"), (-x["lag"]).alias("turn"))))
+    found = lambda scores, best: _pitch_of(scores, best, rate, (best["s"] > 0) & (most >= least) & (F.size(a) >= 2))
+    return with_value(scores, lambda scores: with_value(turned(scores), lambda best: found(scores, best)))
+
+
+def _pitch_of(scores: Column, best: Column, rate: int, found: Column) -> Column:
+    """pitch's struct from the scores by lag and the best of them; zeros unless found."""
     n = F.size(scores)
 
     def rises(x, k):
@@ -130,13 +143,15 @@ def pitch(a: Column, rate: int, low_hz: float = 50, high_hz: float = 2000) -> Co
         return (k > 0) & (k < n - 1) & (x["s"] >= 0.9 * best["s"]) & (x["s"] >= before["s"]) & (x["s"] >= after["s"])
 
     first = F.get(F.filter(scores, rises), F.lit(0))
-    lag, score = F.coalesce(first["lag"], -best["turn"]), F.coalesce(first["s"], best["s"])
-    frequency = F.lit(float(rate)) / lag
-    midi = 69 + 12 * F.log2(frequency / 440)
-    near = F.round(midi)
-    found = (best["s"] > 0) & (most >= least) & (F.size(a) >= 2)
     zero = F.lit(0.0)
-    return F.struct(F.when(found, frequency).otherwise(zero).alias("frequency_hz"), F.when(found, midi).otherwise(zero).alias("midi_note"), F.when(found, score).otherwise(zero).alias("confidence"), F.when(found, (midi - near) * 100).otherwise(zero).alias("cents_from_note"), F.when(found, note_name(near.cast("int"))).otherwise(F.lit("")).alias("note"))
+
+    def result(chosen):
+        frequency = F.lit(float(rate)) / chosen["lag"]
+        midi = 69 + 12 * F.log2(frequency / 440)
+        near = F.round(midi)
+        return F.struct(F.when(found, frequency).otherwise(zero).alias("frequency_hz"), F.when(found, midi).otherwise(zero).alias("midi_note"), F.when(found, chosen["s"]).otherwise(zero).alias("confidence"), F.when(found, (midi - near) * 100).otherwise(zero).alias("cents_from_note"), F.when(found, note_name(near.cast("int"))).otherwise(F.lit("")).alias("note"))
+
+    return with_value(F.coalesce(first, F.struct(best["s"].alias("s"), (-best["turn"]).alias("lag"))), result)
 
 
 def note_name(midi: Column) -> Column:

@@ -258,3 +258,11 @@ def test_perceptual_cull_of_many_blocks(spark):
     many = np.bincount(own, minlength=len(one))[own] > 1
     got = {int(r["path"]): (int(r["keep_path"]), r["remove"]) for r in dedup.plan_cull(dedup.perceptual_groups(hashes, 16), ["ref_path"]).collect()}
     assert got == {k: (first[own[k]], first[own[k]] != k) for k in np.flatnonzero(many).tolist()}
+
+
+def test_pitch_scores_once(spark):
+    """The scores of all lags are worked out once, not again for each place that reads them."""
+    rows = spark.createDataFrame([(1, [float(np.sin(2 * np.pi * k / 8)) for k in range(64)]), (2, [0.0] * 9), (3, [1.0]), (4, [])], "id long, data array<double>")
+    own = rows.select("id", S.pitch(F.col("data"), 100, 4, 25).alias("p")).select("id", "p.frequency_hz", "p.note", F.round("p.confidence", 6).alias("s"))
+    assert sorted(map(tuple, own.collect())) == [(1, 12.5, "G-1", 1.0), (2, 0, "", 0), (3, 0, "", 0), (4, 0, "", 0)]
+    assert own._jdf.queryExecution().optimizedPlan().toString().count("zip_with") == 1
