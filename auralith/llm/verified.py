@@ -32,7 +32,8 @@ BANDS = 8
 BAND_COLUMNS = ("m0", "m1", "m2", "m3")
 #: Min-hashes in each band. Two sets of Jaccard similarity s share one of eight bands of three with 1 - (1 - s^3)^8.
 BAND_ROWS = (3,) * BANDS
-#: The number of the first band's buckets; those of masks and of their finer masks are below.
+#: The number of the first band's buckets; those of masks and of their finer masks are below, those of blocks of a
+#: crowded band BANDS further on.
 FIRST_BAND = 1 << 32
 STEPS = mix64(np.arange(1, 8 * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -109,21 +110,26 @@ def _shared_buckets(classes: DataFrame, df: DataFrame, masks: list[int], bands:
     return stored.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(pick, BUCKETS)
 
 
-def _finer(masks: list[int], radius: int, bands: tuple[str, ...]):
-    """Members (c, fp, h, size, bands) of crowded buckets, as BUCKETS rows of the smaller buckets that replace them:
-    those of a mask by finer masks, those of a band by a second band."""
+def _finer(masks: list[int], radius: int, large: int):
+    """Members (c, key, fp, h, size, n) of crowded buckets of n, as BUCKETS rows of the smaller buckets that replace them:
+    those of a mask by finer masks; those of a band by pairs of blocks of at most some large / 2, so that any two meet."""
 
     def run(batches):
         for batch in batches:
-            c, fp, h, size = (np.asarray(batch.column(n)) for n in ("c", "fp", "h", "size"))
+            c, bucket, fp, h, size, n = (np.asarray(batch.column(k)) for k in ("c", "key", "fp", "h", "size", "n"))
             for k in np.unique(c).tolist():
                 at = np.flatnonzero(c == k)
                 if k >= FIRST_BAND:
-                    keys = _band_keys([np.asarray(batch.column(n))[at] for n in bands])
-                    for j, other in enumerate(keys):
-                        if j != k - FIRST_BAND:
-                            key = (keys[k - FIRST_BAND] << np.uint64(32) | other).view(np.int64)
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), FIRST_BAND + (k - FIRST_BAND + 1) * BANDS + j)), pa.array(key), pa.array(fp[at]), pa.array(h[at]), pa.array(size[at])], ["c", "key", "fp", "h", "size"])
+                    blocks = -(-2 * n[at] // large)
+                    block = (mix64(h[at].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+                    for start, stop in portions(blocks, 1 << 18):
+                        many = blocks[start:stop]
+                        own = np.repeat(np.arange(start, stop), many)
+                        other = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+                        low, high = np.minimum(block[own], other), np.maximum(block[own], other)
+                        own = at[own]
+                        key = bucket[own] << 32 | low << 16 | high
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k + BANDS)), pa.array(key), pa.array(fp[own]), pa.array(h[own]), pa.array(size[own])], ["c", "key", "fp", "h", "size"])
                     continue
                 finer = np.array(finer_masks(masks[k], radius), np.uint64)
                 for start in range(0, len(at), 4096):
@@ -135,6 +141,15 @@ def _finer(masks: list[int], radius: int, bands: tuple[str, ...]):
     return run
 
 
+def portions(sizes: np.ndarray, most: int):
+    """(start, stop) of runs of sizes that add up to at most `most`, or hold one."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, "right")))
+        yield at, stop
+        at = stop
+
+
 CANDIDATES = "c long, key long, a long, b long, overflow boolean"
 
 
@@ -243,11 +258,12 @@ def verified_parts(classes: DataFrame, source: DataFrame, tables: Tables, fetch:
     With wide, classes also have BAND_COLUMNS, and those that share a band are near up to wide(larger size) bits, most of
     all for size 0; of two groups that meet in a band's bucket and stay apart, the nearest two members are judged."""
     masks, bands = list(key_masks(radius)), BAND_COLUMNS if wide else ()
-    one = classes.select("h", "fp", "size", *bands, F.lit(0).cast("long").alias("part"))
+    one = classes.select("h", "fp", "size")
     rows = tables.keep(_shared_buckets(classes, source, masks, bands, tables), "buckets").withColumn("part", F.lit(0).cast("long"))
     first = tables.keep(_candidates(rows, radius, wide, least, large, False), "first")
-    crowded = first.where("overflow").select("c", F.col("a").alias("h"), F.col("b").alias("fp")).join(one, ["h", "fp"])
-    second_rows = crowded.select("c", "fp", "h", "size", *bands).mapInArrow(_finer(masks, radius, bands), BUCKETS).withColumn("part", F.lit(0).cast("long"))
+    over = first.where("overflow").select("c", "key", F.col("a").alias("h"), F.col("b").alias("fp"))
+    crowded = over.join(over.groupBy("c", "key").agg(F.count("*").alias("n")), ["c", "key"]).join(one, ["h", "fp"])
+    second_rows = crowded.select("c", "key", "fp", "h", "size", "n").mapInArrow(_finer(masks, radius, large), BUCKETS).withColumn("part", F.lit(0).cast("long"))
     second = tables.keep(_candidates(second_rows, radius, wide, least, 1 << 62, False), "second")
     proposed = first.where("not overflow").unionByName(second)
     pairs = tables.keep(proposed.select("a", "b").distinct(), "pairs")
