@@ -199,6 +199,24 @@ def similar(a: str, b: str, least: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def unlike(a: list[str], b: list[str], least: float) -> np.ndarray:
+    """Which pairs cannot be similar by their characters alone, whatever their order: the edit distance is at least the
+    number of characters that one has too many, counted in 64 kinds."""
+
+    def counts(texts, size):
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4") & 63
+        return np.bincount(np.repeat(np.arange(len(texts)) << 6, size) + points, minlength=len(texts) << 6).reshape(-1, 64)
+
+    out = np.empty(len(a), bool)
+    for k in range(0, len(a), 2048):
+        x, y = a[k : k + 2048], b[k : k + 2048]
+        n, m = (np.fromiter(map(len, t), np.int64, len(t)) for t in (x, y))
+        over = np.abs(counts(x, n) - counts(y, m)).sum(1)  # too many of one and of the other
+        longest = np.maximum(n, m)
+        out[k : k + 2048] = (over + np.abs(n - m)) / 2 > (1 - least) * longest + 1e-9
+    return out
+
+
 def bits_for(size: np.ndarray, wide: int) -> np.ndarray:
     """Bits by which the larger of two lines in a band may differ from the other, by its size."""
     return wide - FEWER * sum((size >= s).astype(np.int64) for s in FEWER_FROM)
@@ -256,7 +274,7 @@ def line_groups(df: DataFrame, radius: int = RADIUS, least: float = SIMILARITY,
     bands = BAND_COLUMNS if wide else ()
     lines = tables.keep(lines_of(df, id_col, text_col, bands), "lines")
     classes = tables.keep(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in bands)), "classes")
-    parts = verified_parts(classes.where("size > 0"), df, tables, lambda pairs: _texts(pairs, df, tables, text_col), lambda x, y: similar(x, y, least), radius, least, large, partial(bits_for, wide=wide) if wide else None)
+    parts = verified_parts(classes.where("size > 0"), df, tables, lambda pairs: _texts(pairs, df, tables, text_col), lambda x, y: similar(x, y, least), radius, least, large, partial(bits_for, wide=wide) if wide else None, partial(unlike, least=least))
     of = classes.join(parts, classes["h"] == parts["node"], "left").select("h", "first", "n", F.coalesce("component", "h").alias("part"))
     groups = of.groupBy("part").agg(F.min("first").alias("of"), F.sum("n").alias("n")).where("n > 1")
     named = tables.keep(of.drop("first", "n").join(groups, "part").select("h", F.col("of.doc_id").alias("first_doc_id"), F.col("of.line").alias("first_line")), "named")
