@@ -182,16 +182,8 @@ def similar(a: str, b: str, least: float) -> bool:
     most = (1 - least) * longest + 1e-9
     if abs(len(a) - len(b)) > most:
         return False
-    x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum([max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q]) <= most:
-        return True
-    low, k, j = min(len(x), len(y)), 0, 0
-    while k < low and x[k] == y[k]:
-        k += 1
-    while j < low - k and x[-1 - j] == y[-1 - j]:
-        j += 1
-    x, y = x[k : len(x) - j], y[k : len(y) - j]
-    if max(sum(map(len, x)) + len(x), sum(map(len, y)) + len(y)) <= most:
+    x, y, close = _between(a, b, most)
+    if close:
         return True
     cost = sorted([len(w) + 1 for w in x + y], reverse=True)
     if sum(cost[: edit_distance(x, y)]) <= most:
@@ -217,6 +209,153 @@ def unlike(a: list[str], b: list[str], least: float) -> np.ndarray:
     return out
 
 
+#: Pairs of texts whose edit distances are worked out side by side: table entries and characters at most, and pairs
+#: from which on that is faster than one by one.
+ENTRIES, TEXT, FEW = 1 << 17, 1 << 21, 12
+ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def all_similar(a: list[str], b: list[str], least: float) -> np.ndarray:
+    """similar(x, y, least) of each pair of texts, many at a time: the bounds of `similar` that cost little, and then
+    distances between the words alike at both ends, pairs of about the same size side by side."""
+    out = np.zeros(len(a), bool)
+    rest, left, right, most = [], [], [], []
+    for k in np.flatnonzero(~unlike(a, b, least)).tolist():
+        allowed = (1 - least) * max(len(a[k]), len(b[k])) + 1e-9
+        x, y, close = _between(a[k], b[k], allowed)
+        if close:
+            out[k] = True
+        else:
+            rest.append(k)
+            left.append(" ".join(x))
+            right.append(" ".join(y))
+            most.append(int(allowed))
+    size = np.array([max(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64)
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        least_size = int(size[order[at]])
+        stop = at + int(np.searchsorted(size[order[at:]], least_size + max(16, least_size // 4), "right"))
+        longest = int(size[order[stop - 1]])
+        own = order[at : min(stop, at + max(FEW, min(ENTRIES // 64, TEXT // longest)))].tolist()
+        at += len(own)
+        x, y, n = [left[k] for k in own], [right[k] for k in own], [most[k] for k in own]
+        same = [edit_distance(*t) <= t[2] for t in zip(x, y, n, strict=True)] if len(own) < FEW else _within(x, y, np.array(n))
+        out[[rest[k] for k in own]] = same
+    return out
+
+
+def _between(a: str, b: str, most: float) -> tuple[list[str], list[str], bool]:
+    """The words of both between those alike at both ends, and whether putting words in each other's place one by one or
+    these all at once takes at most `most` edits."""
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum([max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q]) <= most:
+        return x, y, True
+    low, k, j = min(len(x), len(y)), 0, 0
+    while k < low and x[k] == y[k]:
+        k += 1
+    while j < low - k and x[-1 - j] == y[-1 - j]:
+        j += 1
+    x, y = x[k : len(x) - j], y[k : len(y) - j]
+    return x, y, max(sum(map(len, x)) + len(x), sum(map(len, y)) + len(y)) <= most
+
+
+def _within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether each pair's Levenshtein distance is at most `most`: Myers' bit vectors for all pairs side by side, in blocks
+    of 64 rows, each block a column behind the one above it, so that all are worked out at once. Only blocks that a path
+    of so few edits can pass take part; above these a row costs one more each column, which no such path uses. A common
+    opening, which changes no distance, makes the first texts equally long. Pairs leave once no path is left."""
+    n, m = (np.fromiter(map(len, t), np.int64, len(t)) for t in (a, b))
+    x, y = (np.frombuffer("".join(t).encode("utf-32-le"), "<u4") for t in (a, b))
+    code = np.zeros(max(x.max(initial=0), y.max(initial=0)) + 1, np.int64)
+    code[x] = code[y] = 1
+    kinds = np.flatnonzero(code)
+    many = min(len(kinds), 255) + 1  # of more kinds some count as one: distances are bounds from below then
+    code[kinds] = np.arange(len(kinds)) % 255 + 1
+    pairs, blocks = len(a), max(1, -(-int(n.max()) // 64))
+    lead = 64 * blocks - n
+    ends = m + lead
+    columns, width = int(ends.max()), pairs * many
+
+    def places(size):  # of the characters of all texts: which text, where in it
+        return np.repeat(np.arange(pairs), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+    table = np.zeros((blocks, width), np.uint64)
+    for size, kind, start in ((n, code[x], lead), (lead, 0, 0 * lead)):
+        of, at = places(size)
+        at += start[of]
+        np.add.at(table.reshape(-1), (at >> 6) * width + of * many + kind, np.uint64(1) << (at & 63).astype(np.uint64))
+    entry = np.zeros((columns, pairs), np.int64) + np.arange(pairs) * many
+    of, at = places(m)
+    entry[at + lead[of], of] += code[y]
+    below, above = int(((most + n - m) // 2).max()), int(((most - n + m) // 2).max())
+    out = np.maximum(n, m) <= most
+    live = np.flatnonzero((np.abs(n - m) <= most) & ~out)
+    if len(live) < pairs:
+        entry = entry.take(live, 1)
+    allowed, ends = most[live], ends[live]
+    up, down = np.full((blocks, len(live)), ALL), np.zeros((blocks, len(live)), np.uint64)
+    more, less = np.zeros((2, blocks + 1, len(live)), np.uint64)  # what the row above each block costs more or less than a column before
+    score = np.full((blocks, len(live)), 64, np.uint64)  # at each block's last row
+    offset = np.arange(blocks)[:, None] * width
+    one, last, flat = np.uint64(1), np.uint64(63), table.reshape(-1)
+    low = high = 0
+    for t in range(columns + blocks - 1):
+        first = min(blocks - 1, max(0, -((64 + above - t) // 65), t - columns + 1))
+        if first == low:
+            more[first], less[first] = one, np.uint64(0)
+        low = first
+        if (new := min(blocks - 1, (t + below) // 65, t)) > high:
+            high = new
+            score[high] = score[high - 1] - more[high] + less[high] + np.uint64(64)
+        own = slice(low, high + 1)
+        match = flat.take(entry[t - high : t - low + 1][::-1] + offset[own])
+        p, q = up[own], down[own]
+        across = match | q
+        match |= less[own]
+        diagonal = match & p
+        diagonal += p
+        diagonal ^= p
+        diagonal |= match
+        right = diagonal | p
+        np.invert(right, out=right)
+        right |= q
+        left = diagonal & p
+        plus, minus = right >> last, left >> last
+        right <<= one
+        right |= more[own]
+        left <<= one
+        left |= less[own]
+        np.bitwise_and(right, across, out=q)
+        across |= right
+        np.invert(across, out=across)
+        np.bitwise_or(left, across, out=p)
+        more[low + 1 : high + 2], less[low + 1 : high + 2] = plus, minus
+        score[own] += plus
+        score[own] -= minus
+        column = t - blocks + 2  # of the last block
+        if high == blocks - 1 and (done := ends == column).any():
+            out[live[done]] = score[-1][done].view(np.int64) <= allowed[done]
+        if t % 32 == 31:
+            # costs at every eighth row of the blocks' columns, which every path passes; others are at most four rows from one
+            steps = [np.bitwise_count(v.view(np.uint8).reshape(*v.shape, 8)).astype(np.int64) for v in (p, q)]
+            ahead = np.cumsum((steps[0] - steps[1])[:, :, ::-1], axis=2)[:, :, ::-1]  # from such a row to the block's last
+            cost = score[own].view(np.int64)[:, :, None] - ahead
+            k = np.arange(low, high + 1)[:, None, None]
+            bound = np.abs((64 * (blocks - k) - 8 * np.arange(8)) - (ends[None, :, None] - (t - k + 1))) + cost
+            bound = np.minimum(bound.min((0, 2)), np.abs(64 * (blocks - 1 - high) - ends + (t - high + 1)) + score[high].view(np.int64)) - 8
+            stay = np.flatnonzero((ends > column) & (bound <= allowed))
+            if not len(stay):
+                break
+            if len(stay) < 0.8 * len(live):
+                live, ends, allowed, entry = live[stay], ends[stay], allowed[stay], entry.take(stay, 1)
+                up, down, score, more, less = (v.take(stay, 1) for v in (up, down, score, more, less))
+    if len(kinds) >= many:
+        for k in np.flatnonzero(out).tolist():
+            out[k] = edit_distance(a[k], b[k], most[k]) <= most[k]
+    return out
+
+
 def bits_for(size: np.ndarray, wide: int) -> np.ndarray:
     """Bits by which the larger of two lines in a band may differ from the other, by its size."""
     return wide - FEWER * sum((size >= s).astype(np.int64) for s in FEWER_FROM)
@@ -274,7 +413,7 @@ def line_groups(df: DataFrame, radius: int = RADIUS, least: float = SIMILARITY,
     bands = BAND_COLUMNS if wide else ()
     lines = tables.keep(lines_of(df, id_col, text_col, bands), "lines")
     classes = tables.keep(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in bands)), "classes")
-    parts = verified_parts(classes.where("size > 0"), df, tables, lambda pairs: _texts(pairs, df, tables, text_col), lambda x, y: similar(x, y, least), radius, least, large, partial(bits_for, wide=wide) if wide else None, partial(unlike, least=least))
+    parts = verified_parts(classes.where("size > 0"), df, tables, lambda pairs: _texts(pairs, df, tables, text_col), lambda x, y: similar(x, y, least), radius, least, large, partial(bits_for, wide=wide) if wide else None, partial(all_similar, least=least))
     of = classes.join(parts, classes["h"] == parts["node"], "left").select("h", "first", "n", F.coalesce("component", "h").alias("part"))
     groups = of.groupBy("part").agg(F.min("first").alias("of"), F.sum("n").alias("n")).where("n > 1")
     named = tables.keep(of.drop("first", "n").join(groups, "part").select("h", F.col("of.doc_id").alias("first_doc_id"), F.col("of.line").alias("first_line")), "named")
