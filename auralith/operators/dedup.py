@@ -45,7 +45,7 @@ def plan_cull(grouped: DataFrame, group: list[str], strategy: str = "first-path"
     when = F.col("modified_at").cast("timestamp").cast("double") if "modified_at" in grouped.columns else F.lit(0.0)
     key = {"oldest": F.struct(when.alias("a"), F.col("path").alias("p")), "newest": F.struct((-when).alias("a"), F.col("path").alias("p"))}.get(strategy, F.struct(F.lit(0.0).alias("a"), F.col("path").alias("p")))
     keepers = grouped.groupBy(*group).agg(F.min(key)["p"].alias("keep_path"))
-    return grouped.join(keepers, group).withColumn("remove", F.col("path") != F.col("keep_path"))
+    return grouped.join(keepers.hint("merge"), group).withColumn("remove", F.col("path") != F.col("keep_path"))
 
 
 #: Share of all pairs that bands may propose of evenly spread hashes; beyond it every pair of blocks is compared.
@@ -136,12 +136,12 @@ def hamming_pairs(hashes: DataFrame, distance: int, id_col: str = "path") -> Dat
 def perceptual_groups(hashes: DataFrame, distance: int = DEFAULT_DISTANCE) -> DataFrame:
     """(path, bits, ref_path, ref_bits, distance, similarity, n): members of groups of two and more under the transitive
     closure of "at most `distance` bits apart" (0 or less: the default), each with the group's smallest path and its
-    distance to that one. Closure works on distinct hashes; equal ones join by their hash."""
+    distance to that one. Closure works on distinct hashes; equal ones join by their hash. No join goes through the driver."""
     distance = distance if distance > 0 else DEFAULT_DISTANCE
     one = keep(hashes.select("bits").where("bits is not null").distinct(), scratch(hashes.sparkSession, "classes"))
     parts = components(_hash_links(one, distance))
-    member = hashes.join(parts, hashes["bits"] == parts["node"], "left").select(*[hashes[c] for c in hashes.columns], F.coalesce("component", "bits").alias("part"))
+    member = hashes.join(parts.hint("merge"), hashes["bits"] == parts["node"], "left").select(*[hashes[c] for c in hashes.columns], F.coalesce("component", "bits").alias("part"))
     member = keep(member, scratch(hashes.sparkSession, "perceptual"))
     groups = member.groupBy("part").agg(F.min(F.struct("path", "bits")).alias("ref"), F.count("*").alias("n")).where("n > 1")
     apart = hamming(F.col("bits"), F.col("ref.bits"))
-    return member.join(groups, "part").select(*hashes.columns, F.col("ref.path").alias("ref_path"), F.col("ref.bits").alias("ref_bits"), apart.alias("distance"), (1 - apart / 64.0).alias("similarity"), "n")
+    return member.join(groups.hint("merge"), "part").select(*hashes.columns, F.col("ref.path").alias("ref_path"), F.col("ref.bits").alias("ref_bits"), apart.alias("distance"), (1 - apart / 64.0).alias("similarity"), "n")
