@@ -15,6 +15,7 @@ share), and half draw five words, all alike (so that one changed long word does
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache, partial
 
@@ -41,6 +42,7 @@ BASE = np.uint64(0x9E3779B97F4A7C55)
 WHITE = np.array([b in b" \t\n\v\f\r" for b in range(256)])
 WORDLIKE = np.array([chr(b).isalnum() and b < 128 or b > 127 for b in range(256)])
 LETTERS = mix64(np.array([b + 32 if 65 <= b < 91 else b for b in range(256)], np.uint64) + np.uint64(0x5851F42D))
+ONES = np.uint64(0x0101010101010101)
 #: Bits of the filter that says which lines' texts to fetch: 2 MB, whatever the corpus.
 FILTER_BITS = 1 << 24
 #: Bytes of text read at once; a worker holds some eighty times as much.
@@ -92,8 +94,9 @@ class Lines:
         return b" ".join(self.raw[self.first[k] : self.last[k]].lower().split()).decode()
 
 
-def read_lines(texts: list[str], prints: bool = True, banded: bool = False) -> Lines:
-    """All texts at once as one array of bytes: no step per word or line."""
+def read_lines(texts: list[str], prints: bool = True, banded: bool = False, chosen: Callable[[np.ndarray], np.ndarray] | None = None) -> Lines:
+    """All texts at once as one array of bytes: no step per word or line. Without prints, these are zero; with chosen, so
+    are prints and bands of the lines for whose hashes it is false."""
     parts = [t.encode() for t in texts]
     raw = b"\n".join(parts) + b"\n"
     b = np.frombuffer(raw, np.uint8)
@@ -101,44 +104,59 @@ def read_lines(texts: list[str], prints: bool = True, banded: bool = False) -> L
     edge = np.flatnonzero(np.diff(white, prepend=True))
     start, end = edge[::2], edge[1::2]  # of words: the array ends in white space
     breaks = np.flatnonzero(b == 10)
-    line = np.searchsorted(breaks, start)
-    count = np.bincount(line, minlength=len(breaks))
+    count = np.diff(np.searchsorted(start, breaks), prepend=0)
     own = np.flatnonzero(count)
     size = count[own]
     stop = np.cumsum(size)
     begin = stop - size
     word = run_sums(LETTERS[b], start, end) if len(start) else np.zeros(0, np.uint64)
-    points = np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80, dtype=np.int32)))
-    chars = np.add.reduceat(points[end] - points[start], begin) + size - 1 if len(own) else size
+    more = np.flatnonzero((b & 0xC0) == 0x80)  # bytes that begin no code point
+    chars = np.add.reduceat(end - start, begin) + size - 1 - np.searchsorted(more, end[stop - 1]) + np.searchsorted(more, start[begin]) if len(own) else size
     h = run_sums(word, begin, stop) if len(own) else np.zeros(0, np.uint64)
     fp, bands = np.zeros(len(own), np.uint64), [np.zeros(len(own), np.int64) for _ in BAND_COLUMNS] if banded else []
     n_words = size
-    if prints and len(own):
-        heard = np.concatenate(([0], np.cumsum(WORDLIKE[b], dtype=np.int32)))
-        spoken = heard[end] > heard[start]
+    if (prints or banded) and len(own):
+        some, first, last = np.arange(len(own)), start, end
+        if chosen is not None:
+            mask = chosen(h)
+            some, of = np.flatnonzero(mask), np.repeat(mask, size)
+            first, last, word, size = start[of], end[of], word[of], size[mask]
+        spoken = WORDLIKE[b[first]]
+        odd = np.flatnonzero(~spoken)  # words that begin with a sign: the rest of them tells
+        if len(odd):
+            spoken[odd] = np.logical_or.reduceat(WORDLIKE[b], np.stack([first[odd], last[odd]], 1).reshape(-1))[::2]
         if not spoken.all():
-            which = np.repeat(np.arange(len(own)), size)
-            spoken |= ~(np.bincount(which, spoken, len(own)) > 0)[which]
-            size = np.bincount(which[spoken], minlength=len(own))
-        fp = majorities(word[spoken], size)
-        bands = band_columns(word[spoken], size, BAND_ROWS, np.minimum(end - start, 16)[spoken].astype(np.uint64) - np.uint64(1), WEIGHTED) if banded else []
+            which = np.repeat(np.arange(len(some)), size)
+            spoken |= ~(np.bincount(which, spoken, len(some)) > 0)[which]
+            size = np.bincount(which[spoken], minlength=len(some))
+            first, last, word = first[spoken], last[spoken], word[spoken]
+        if prints:
+            fp[some] = majorities(word, size)
+        if banded:
+            for out, keys in zip(bands, band_columns(word, size, BAND_ROWS, np.minimum(last - first, 16).astype(np.uint64) - np.uint64(1), WEIGHTED), strict=True):
+                out[some] = keys
     ends = np.cumsum([p.count(b"\n") + 1 for p in parts])
     text = np.searchsorted(ends, own, "right")
     return Lines(text, own - np.concatenate(([0], ends))[text], h, fp, chars, n_words, raw, start[begin], end[stop - 1] if len(own) else end[:0], bands)
 
 
 def majorities(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For consecutive runs of hashes the bits that are set in over half of each."""
+    """For consecutive runs of hashes the bits that are set in over half of each. Runs of up to 255 are counted in the
+    bytes of a word, eight bits at a time: differences of a running sum, which may well overflow."""
     ends = np.cumsum(size)
-    out = np.empty(len(size), np.uint64)
-    at = 0
-    while at < len(size):  # some 200,000 hashes at a time
-        base = int(ends[at] - size[at])
-        stop = max(at + 1, int(np.searchsorted(ends, base + 200_000, "right")))
-        bits = np.unpackbits(hashes[base : int(ends[stop - 1])].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, ends[at:stop] - size[at:stop] - base, axis=0, dtype=np.int32)
-        out[at:stop] = np.packbits(2 * sums > size[at:stop, None], axis=1, bitorder="little").view("<u8").reshape(-1)
-        at = stop
+    out = np.zeros(len(size), np.uint64)
+    half = np.minimum(size // 2, 255).astype(np.uint8)[:, None]
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    for k in range(8):
+        np.cumsum(hashes >> np.uint64(k) & ONES, out=total[1:])
+        counts = (total[ends] - total[ends - size]).astype("<u8", copy=False)
+        out |= (counts.view(np.uint8).reshape(-1, 8) > half).view("<u8").reshape(-1) << np.uint64(k)
+    for k in np.flatnonzero(size > 255).tolist():
+        sums = np.zeros(64, np.int64)
+        for at in range(int(ends[k] - size[k]), int(ends[k]), 200_000):
+            some = hashes[at : min(at + 200_000, int(ends[k]))]
+            sums += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[k] = np.packbits(2 * sums > size[k], bitorder="little").view("<u8")[0]
     return out
 
 
@@ -375,28 +393,33 @@ def lines_of(df: DataFrame, id_col: str, text_col: str, bands: tuple[str, ...] =
     return rows.mapInArrow(run, ", ".join(["doc_id long, line int, h long, fp long, size int", *(f"{c} long" for c in bands)]))
 
 
-def _texts(pairs: DataFrame, df: DataFrame, tables: Tables, text_col: str) -> DataFrame:
-    """(h, line): the normalised texts of the lines in pairs (a, b), by a scan behind a filter of fixed size."""
+def _texts(pairs: DataFrame, df: DataFrame, tables: Tables, text_col: str, bands: tuple[str, ...] = ()) -> DataFrame:
+    """(h, line, bands): the normalised texts of the lines in pairs (a, b), by a scan behind a filter of fixed size."""
     bits = bit_filter(pairs.select(F.explode(F.array("a", "b")).alias("key")), FILTER_BITS)
     shared = df.sparkSession.sparkContext.broadcast(bits)
 
     def fetch(batches):
         wanted, done = shared.value, set()
+
+        def chosen(h):
+            at = (h % np.uint64(FILTER_BITS)).astype(np.int64)
+            return (wanted[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
         for batch in text_slices(batches, "text", SLICE):
-            found = read_lines(batch.column("text").to_pylist(), prints=False)
-            at = (found.h % np.uint64(FILTER_BITS)).astype(np.int64)
-            hs, texts = [], []
-            for k in np.flatnonzero(wanted[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).tolist():
+            found = read_lines(batch.column("text").to_pylist(), False, bool(bands), chosen)
+            own, texts = [], []
+            for k in np.flatnonzero(chosen(found.h)).tolist():
                 if (h := int(found.h[k])) not in done:
                     if len(done) > 100_000:
                         done.clear()
                     done.add(h)
-                    hs.append(h)
+                    own.append(k)
                     texts.append(found.words(k))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(texts, pa.string())], ["h", "line"])
+            at = np.array(own, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.h[at].view(np.int64)), pa.array(texts, pa.string()), *(pa.array(x[at]) for x in found.bands)], ["h", "line", *bands])
 
-    found = df.select(df[text_col].alias("text")).where("text is not null").mapInArrow(fetch, "h long, line string")
-    return tables.keep(found.groupBy("h").agg(F.first("line").alias("line")), "texts")
+    found = df.select(df[text_col].alias("text")).where("text is not null").mapInArrow(fetch, ", ".join(["h long, line string", *(f"{c} long" for c in bands)]))
+    return tables.keep(found.groupBy("h").agg(*(F.first(c).alias(c) for c in ("line", *bands))), "texts")
 
 
 def line_groups(df: DataFrame, radius: int = RADIUS, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE, wide: int | None = None) -> DataFrame:
@@ -413,7 +436,7 @@ def line_groups(df: DataFrame, radius: int = RADIUS, least: float = SIMILARITY,
     bands = BAND_COLUMNS if wide else ()
     lines = tables.keep(lines_of(df, id_col, text_col, bands), "lines")
     classes = tables.keep(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in bands)), "classes")
-    parts = verified_parts(classes.where("size > 0"), df, tables, lambda pairs: _texts(pairs, df, tables, text_col), lambda x, y: similar(x, y, least), radius, least, large, partial(bits_for, wide=wide) if wide else None, partial(all_similar, least=least))
+    parts = verified_parts(classes.where("size > 0"), df, tables, lambda pairs: _texts(pairs, df, tables, text_col, bands), lambda x, y: similar(x, y, least), radius, least, large, partial(bits_for, wide=wide) if wide else None, partial(all_similar, least=least))
     of = classes.join(parts, classes["h"] == parts["node"], "left").select("h", "first", "n", F.coalesce("component", "h").alias("part"))
     groups = of.groupBy("part").agg(F.min("first").alias("of"), F.sum("n").alias("n")).where("n > 1")
     named = tables.keep(of.drop("first", "n").join(groups, "part").select("h", F.col("of.doc_id").alias("first_doc_id"), F.col("of.line").alias("first_line")), "named")

@@ -25,6 +25,8 @@ from .common import Tables, connected_components, text_slices
 
 #: A bucket of more fingerprints is divided further.
 LARGE = 4096
+#: Members up to which a group's pairs are compared one by one: its words of 64 lanes would be nearly empty.
+FEW = 48
 
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
@@ -143,10 +145,31 @@ def near_sets(fps: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
     return parent
 
 
+def pair_hits(fps: np.ndarray, sizes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """near_hits, but small groups, of which there may be very many, without bit planes."""
+    small, own = sizes <= FEW, np.arange(len(fps))
+    if not small.all():
+        large = np.flatnonzero(np.repeat(~small, sizes))
+        for a, b in near_hits(fps[large], sizes[~small], radius):
+            yield large[a], large[b]
+        own = np.flatnonzero(np.repeat(small, sizes))
+    sizes = sizes[small]
+    later = np.repeat(np.cumsum(sizes), sizes) - np.arange(1, len(own) + 1)  # members behind each one in its group
+    edges = np.concatenate(([0], np.cumsum(later)))
+    at = 0
+    while at < len(own):
+        stop = max(at + 1, int(np.searchsorted(edges, edges[at] + 262_144, "right")) - 1)
+        a = np.repeat(np.arange(at, stop), later[at:stop])
+        b = np.arange(edges[at], edges[stop]) - edges[a] + a + 1
+        near = np.flatnonzero(np.bitwise_count(fps[own[a]] ^ fps[own[b]]) <= radius)
+        yield own[a[near]], own[b[near]]
+        at = stop
+
+
 def near_pairs(fps: np.ndarray, sizes: np.ndarray, radius: int, fits, every: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs within the radius for which fits(a, b) holds: all, or a spanning forest of them."""
     parent, used = np.arange(len(fps)), [(np.zeros(0, np.int64),) * 2]
-    for a, b in near_hits(fps, sizes, radius):
+    for a, b in pair_hits(fps, sizes, radius):
         fit = fits(a, b)
         a, b = a[fit], b[fit]
         if every:
