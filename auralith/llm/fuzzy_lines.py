@@ -435,14 +435,16 @@ def line_groups(df: DataFrame, radius: int = RADIUS, least: float = SIMILARITY,
     tables = Tables(df.sparkSession, "lines")
     bands = BAND_COLUMNS if wide else ()
     lines = tables.keep(lines_of(df, id_col, text_col, bands), "lines")
-    classes = tables.keep(lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"), *(F.first(c).alias(c) for c in bands)), "classes")
+    classes = tables.keep(lines.groupBy("h").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("fp", "size", *bands))), "classes")
     parts = verified_parts(classes.where("size > 0"), df, tables, lambda pairs: _texts(pairs, df, tables, text_col, bands), lambda x, y: similar(x, y, least), radius, least, large, partial(bits_for, wide=wide) if wide else None, partial(all_similar, least=least))
-    of = classes.join(parts, classes["h"] == parts["node"], "left").select("h", "first", "n", F.coalesce("component", "h").alias("part"))
-    groups = of.groupBy("part").agg(F.min("first").alias("of"), F.sum("n").alias("n")).where("n > 1")
-    named = tables.keep(of.drop("first", "n").join(groups, "part").select("h", F.col("of.doc_id").alias("first_doc_id"), F.col("of.line").alias("first_line")), "named")
-    tables.drop_but("lines", "named")
+    # a part has two classes at least; of the other classes those count that occur twice
+    alone = classes.where("n > 1").select("h").join(parts, F.col("h") == F.col("node"), "left_anti")
+    of = parts.select(F.col("node").alias("h"), F.col("component").alias("part")).unionByName(alone.select("h", F.col("h").alias("part")))
+    again = tables.keep(lines.select("doc_id", "line", "h").join(of, "h").select("doc_id", "line", "part"), "again")
+    named = tables.keep(again.groupBy("part").agg(F.min(F.struct("doc_id", "line")).alias("of")).select("part", F.col("of.doc_id").alias("first_doc_id"), F.col("of.line").alias("first_line")), "named")
+    tables.drop_but("again", "named")
     kept = (F.col("doc_id") == F.col("first_doc_id")) & (F.col("line") == F.col("first_line"))
-    return lines.select("doc_id", "line", "h").join(named, "h").select("doc_id", "line", "first_doc_id", "first_line", kept.alias("kept"))
+    return again.join(named, "part").select("doc_id", "line", "first_doc_id", "first_line", kept.alias("kept"))
 
 
 def remove_lines(df: DataFrame, radius: int = RADIUS, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", wide: int | None = None, least_words: int = 1) -> DataFrame:

@@ -26,7 +26,7 @@ from auralith.operators.blocks import join_sets
 
 from .chunks import answer, cell_bits, expand, gather, send, squeeze
 from .common import Tables, connected_components, mix64
-from .simhash import finer_masks, key_masks, near_pairs, pair_hits
+from .simhash import FEW, finer_masks, key_masks, near_pairs, pair_hits
 
 BUCKETS = "c long, key long, fp long, h long, size int"
 #: Min-hash bands as 32-bit keys, two to a long column.
@@ -39,6 +39,8 @@ BAND_ROWS = (3,) * BANDS
 FIRST_BAND = 1 << 32
 #: Sizes in an exchange of buckets: steps to the double (of one byte, the last for all beyond), and several sizes at once.
 SIZE_STEPS, SEVERAL = 15, 255
+#: Bits of a fingerprint that are sent with the size, and the bits of a key that both leave.
+SENT, KEY = 16, ~np.uint64((1 << 24) - 1)
 STEPS = mix64(np.arange(1, 8 * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -67,35 +69,56 @@ def _band_keys(columns: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _bucket_keys(fp: np.ndarray, masks: list[int], bands: list[np.ndarray]) -> np.ndarray:
-    """One key of 64 bits, the last byte free, for each mask and band (rows) and fingerprint."""
+    """One key of the bits of KEY for each mask and band (rows) and fingerprint."""
     own = [fp.view(np.uint64) & np.uint64(m) for m in masks] + _band_keys(bands)
-    return np.stack([mix64(x + mix64(np.array([k + 1], np.uint64))) for k, x in enumerate(own)]) & ~np.uint64(255)
+    return np.stack([mix64(x + mix64(np.array([k + 1], np.uint64))) for k, x in enumerate(own)]) & KEY
 
 
-def _sized(keys: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of members of the sizes (one a column), sorted, with their sizes' steps; SEVERAL for two and more."""
-    code = np.minimum(SIZE_STEPS * np.log2(np.maximum(size, 1)), SEVERAL - 1).astype(np.uint64)
-    both = np.sort((keys | code).reshape(-1))
-    at = np.flatnonzero(np.diff(both >> np.uint64(8), prepend=~np.uint64(0)))
+def _turned(fp: np.ndarray, mask: int) -> np.ndarray:
+    """SENT neighbouring bits of the fingerprints (the last follows the first), as few of the mask's as can be."""
+    low = (1 << SENT) - 1
+    turn = min(range(64), key=lambda k: ((mask >> k | mask << 64 - k) & low).bit_count())
+    return (fp.view(np.uint64) >> np.uint64(turn) | fp.view(np.uint64) << np.uint64((64 - turn) % 64)) & np.uint64(low)
+
+
+def _sized(keys: np.ndarray, fp: np.ndarray, size: np.ndarray, masks: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of members (one a column; masks first, then bands), sorted, with the steps of their sizes, SEVERAL
+    for two and more, and for a mask's key some bits that its members may differ in."""
+    code = np.minimum(SIZE_STEPS * np.log2(np.maximum(size, 1)), SEVERAL - 1).astype(np.uint64) << np.uint64(SENT)
+    both = keys | code
+    for k, mask in enumerate(masks):
+        both[k] |= _turned(fp, mask)
+    both = np.sort(both.reshape(-1))
+    at = np.flatnonzero(np.diff(both >> np.uint64(24), prepend=~np.uint64(0)))
     many = np.diff(at, append=len(both)) > 1
-    return both[at] & ~np.uint64(255), np.where(many, SEVERAL, both[at] & np.uint64(255)).astype(np.uint8)
+    return both[at] & KEY, np.where(many, SEVERAL, both[at] >> np.uint64(SENT) & np.uint64(255)).astype(np.uint8), both[at].astype(np.uint16)
 
 
-def _matched(slot: np.ndarray, n: int, codes: np.ndarray, least: float) -> np.ndarray:
-    """Of n keys those that have two members, in two blocks or one, whose sizes may allow the similarity."""
+def _matched(slot: np.ndarray, n: int, codes: np.ndarray, bits: np.ndarray, radius: int, least: float) -> np.ndarray:
+    """Of n keys those that have two members, in two blocks or one, whose sizes may allow the similarity and whose bits
+    (zero for bands) the radius; of many members the sizes alone decide."""
     apart = int(SIZE_STEPS * np.log2(1 / least) + 1e-9) + 1 if least > 0 else SEVERAL
     out = np.zeros(n, np.uint8)
     out[slot[codes == SEVERAL]] = 1
-    some = np.flatnonzero((np.bincount(slot, minlength=n) > 1)[slot] & (out[slot] == 0))
-    both = np.sort(slot[some].astype(np.int64) << 8 | codes[some])
-    near = (both[1:] >> 8 == both[:-1] >> 8) & (both[1:] - both[:-1] <= apart)
-    out[both[1:][near] >> 8] = 1
+    count = np.bincount(slot, minlength=n)
+    count[out > 0] = 0
+    some = np.flatnonzero(count[slot] > 1)
+    both = np.sort(slot[some].astype(np.int64) << 24 | codes[some].astype(np.int64) << SENT | bits[some])
+    for step in range(1, FEW):  # neighbours, those next but one, ...
+        many = count[both >> 24]
+        both = both[(many > step) & (out[both >> 24] == 0)]
+        x, y = both[:-step], both[step:]
+        near = (x >> 24 == y >> 24) & ((y >> SENT) - (x >> SENT) <= apart)
+        near &= (np.bitwise_count((x ^ y) & 0xFFFF) <= radius) | (count[x >> 24] > FEW)
+        out[x[near] >> 24] = 1
+        if not len(x):
+            break
     return out
 
 
-def _shared_buckets(classes: DataFrame, df: DataFrame, masks: list[int], bands: tuple[str, ...], tables: Tables, least: float) -> DataFrame:
+def _shared_buckets(classes: DataFrame, df: DataFrame, masks: list[int], bands: tuple[str, ...], tables: Tables, radius: int, least: float) -> DataFrame:
     """BUCKETS rows of the classes (h, fp, size, bands) for those buckets that have two members, one not too small for the
-    other.
+    other and, as far as a few bits tell, not too far from it.
 
     Which have is learned by the exchange of chunks.py, so that the many buckets of one are never shuffled as rows."""
     bits = cell_bits(df)
@@ -113,13 +136,13 @@ def _shared_buckets(classes: DataFrame, df: DataFrame, masks: list[int], bands:
         for pdf in batches:
             for chunk, data in zip(pdf["chunk"], pdf["data"], strict=True):
                 _, fp, size, *own = expand(data)
-                keys, codes = _sized(_bucket_keys(fp, masks, own), size)
-                yield pd.DataFrame(send(chunk, keys, [codes], bits), columns=["cell", "chunk", "data"])
+                keys, *told = _sized(_bucket_keys(fp, masks, own), fp, size, masks)
+                yield pd.DataFrame(send(chunk, keys, told, bits), columns=["cell", "chunk", "data"])
 
     def matched(slot, n, values):
-        return [_matched(slot, n, values[0], least)]
+        return [_matched(slot, n, *values, radius, least)]
 
-    told = answer(stored.mapInPandas(ask, "cell long, chunk long, data binary"), matched, 1, 1)
+    told = answer(stored.mapInPandas(ask, "cell long, chunk long, data binary"), matched, 2, 1)
 
     def pick(_, left, right):
         out = []
@@ -379,7 +402,7 @@ def verified_parts(classes: DataFrame, source: DataFrame, tables: Tables, fetch:
     judge = judge or (lambda xs, ys: np.array([similar(x, y) for x, y in zip(xs, ys, strict=True)], bool))
     masks, bands = list(key_masks(radius)), BAND_COLUMNS if wide else ()
     one = classes.select("h", "fp", "size")
-    rows = tables.keep(_shared_buckets(classes, source, masks, bands, tables, least), "buckets")
+    rows = tables.keep(_shared_buckets(classes, source, masks, bands, tables, radius, least), "buckets")
     first = tables.keep(_candidates(rows, radius, wide, least, large), "first")
     over = first.where("overflow").select("c", "key", F.col("a").alias("h"), F.col("b").alias("fp"))
     crowded = over.join(over.groupBy("c", "key").agg(F.count("*").alias("n")), ["c", "key"]).join(one, ["h", "fp"])

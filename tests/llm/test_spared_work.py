@@ -40,7 +40,7 @@ def test_buckets_of_sizes_that_cannot_be_similar_are_left_out(spark, make):
         pair, size = k % 80, 30 if k >= 80 else 10 if k < 40 else 24
         rows.append((k, int(rng.integers(1 << 62)), size, 7 << 32 | 1000 + pair, *(((10 * c + 1) << 40) + (k << 33) + k for c in (1, 2, 3))))
     classes = spark.createDataFrame(rows, "h long, fp long, size int, m0 long, m1 long, m2 long, m3 long").repartitionByRange(2, "h")
-    found = V._shared_buckets(classes, make([(1, "a")]), list(key_masks(3)), V.BAND_COLUMNS, Tables(spark, "sized"), 0.8)
+    found = V._shared_buckets(classes, make([(1, "a")]), list(key_masks(3)), V.BAND_COLUMNS, Tables(spark, "sized"), 3, 0.8)
     held = {r["h"] for r in found.where(f"c = {V.FIRST_BAND + 1}").collect()}
     assert held == {k for k in range(160) if k % 80 >= 40}
 
@@ -51,10 +51,28 @@ def test_sizes_that_may_be_similar_match():
         low = np.concatenate([rng.integers(0, 2000, 3000), rng.integers(10**5, 10**7, 200)])
         high = np.maximum(low, np.floor(low / least).astype(np.int64) - rng.integers(0, 3, len(low)))
         fit = low >= least * high
-        keys = (mix := np.arange(len(low), dtype=np.uint64)) << np.uint64(8)
-        codes = [V._sized(keys[None], s)[1] for s in (low, high)]
-        flags = V._matched(np.tile(mix.astype(np.int64), 2), len(low), np.concatenate(codes), least)
-        assert flags[fit].all() and (least != 0.8 or not V._matched(np.zeros(2, np.int64), 1, np.array([30, 36], np.uint8), least)[0])
+        number = np.arange(len(low))
+        keys = number.astype(np.uint64)[None] << np.uint64(24)
+        codes = np.concatenate([V._sized(keys, keys[0], s, [])[1] for s in (low, high)])
+        assert V._matched(np.tile(number, 2), len(low), codes, np.zeros(len(codes), np.uint16), 3, least)[fit].all()
+    assert not V._matched(np.zeros(2, np.int64), 1, np.array([30, 36], np.uint8), np.zeros(2, np.uint16), 3, 0.8)[0]
+
+
+def test_near_prints_match_in_every_bucket_that_they_share():
+    """Groups of 2 to 60 members, of which two are near: their bits never tell them apart; those of two far ones do."""
+    rng = np.random.default_rng(8)
+    for radius in (1, 3, 8):
+        for mask in key_masks(radius):
+            group = np.repeat(np.arange(20), [2] * 10 + [3, 4, 5, 8, 20, 47, 48, 49, 50, 60])
+            fps = rng.integers(0, 1 << 63, len(group), dtype=np.uint64)
+            first = np.searchsorted(group, np.arange(20))
+            fps[first + 1] = fps[first]
+            for _ in range(radius):
+                fps[first + 1] ^= np.uint64(1) << rng.integers(0, 64, 20).astype(np.uint64)
+            bits = V._turned(fps, mask).astype(np.uint16)
+            assert V._matched(group, 20, np.full(len(group), 40, np.uint8), bits, radius, 0.8).all()
+            if radius < 8:
+                assert V._matched(group[:20], 10, np.full(20, 40, np.uint8), V._turned(rng.integers(0, 1 << 63, 20, dtype=np.uint64), mask).astype(np.uint16), radius, 0.8).sum() < 5
 
 
 def test_small_and_large_groups_by_all_pairs():
